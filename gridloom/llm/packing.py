@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import WordCache, as_strings, slices
+from .textops import as_strings, slices, word_cache
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: sequence_id = task * 2**TASK_SHIFT + number within the task
@@ -147,7 +147,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaced: bool = True, end_id:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = WordCache(tokenizer, spaced)
+        cache = word_cache(tokenizer, spaced)
         out = _Packer(TaskContext.get().partitionId(), width, quadratic)
         waiting: list[tuple] = []
         held = 0

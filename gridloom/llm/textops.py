@@ -223,3 +223,13 @@ class WordCache:
             begin, lens[i] = end, len(part)
             parts.append(part)
         return np.concatenate(parts), lens
+
+
+_CACHES: dict[tuple[str, bool], WordCache] = {}
+
+
+def word_cache(path: str, spaced: bool) -> WordCache:
+    """The cache of this Python worker: it outlives a task, as the worker does."""
+    if (path, spaced) not in _CACHES:
+        _CACHES[path, spaced] = WordCache(path, spaced)
+    return _CACHES[path, spaced]
