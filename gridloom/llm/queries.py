@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, tokenstore
+from . import chat, ivfpq, jaccard_join, mixing, neardup_vectors, packing, tokenstore
 from .storage import read_table
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.link_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op3_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.self_search(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(read_table(spark, sf_dir, "conversations"))
 
@@ -18,6 +26,10 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=1)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.roundtrip(spark, read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", spaced=False, end_id=2)
 
@@ -26,5 +38,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_formatting, op6_cost_balanced_packing, op9_token_shards, op10_source_mixing)}
-ORACLE = {"op5_chat_formatting": chat.ORACLE, "op10_source_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_ivf_pq_search, op5_chat_formatting, op6_cost_balanced_packing, op8_ngram_jaccard_join, op9_token_shards, op10_source_mixing)}
+ORACLE = {"op1_embedding_near_dedup": neardup_vectors.ORACLE, "op5_chat_formatting": chat.ORACLE, "op8_ngram_jaccard_join": jaccard_join.ORACLE, "op10_source_mixing": mixing.ORACLE}
