@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, ivfpq, jaccard_join, mixing, neardup_vectors, packing, tokenstore
+from . import chat, importance, ivfpq, jaccard_join, mixing, neardup_vectors, packing, pii, tokenstore
 from .storage import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -14,6 +15,11 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.link_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymize(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"))
+
+
 def op3_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.self_search(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -26,6 +32,10 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=1)
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(read_table(spark, sf_dir, "documents"))
 
@@ -38,5 +48,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op3_ivf_pq_search, op5_chat_formatting, op6_cost_balanced_packing, op8_ngram_jaccard_join, op9_token_shards, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_ivf_pq_search, op5_chat_formatting, op6_cost_balanced_packing, op7_importance_resampling, op8_ngram_jaccard_join, op9_token_shards, op10_source_mixing)}
 ORACLE = {"op1_embedding_near_dedup": neardup_vectors.ORACLE, "op5_chat_formatting": chat.ORACLE, "op8_ngram_jaccard_join": jaccard_join.ORACLE, "op10_source_mixing": mixing.ORACLE}

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+KIND = np.where(SPACE, 0, 1).astype(np.uint8)  # 2: ASCII punctuation
+KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SLICE_BYTES = 2_000_000
@@ -60,9 +62,11 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         at = min(to, n)
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word in order, number of words of each text).
 
+    ``punctuation``: runs of ASCII punctuation are words of their own.
+
     A word's hash is a multilinear form of its bytes with pseudo-random odd coefficients
     per position, then mixed; two given words collide with probability about 2**-57.
     """
@@ -72,9 +76,10 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(n, np.int64)
     raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[off[0] : off[-1]]
     off = off - off[0]
-    solid = ~SPACE[raw]
+    kind = KIND[raw] if punctuation else (~SPACE[raw]).view(np.uint8)
+    solid = kind > 0
     first = solid.copy()
-    first[1:] &= ~solid[:-1]
+    first[1:] &= kind[1:] != kind[:-1]
     begins = off[:-1][off[:-1] < len(raw)]
     first[begins] |= solid[begins]
     starts = np.flatnonzero(first)
