@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, importance, ivfpq, jaccard_join, mixing, neardup_vectors, packing, pii, tokenstore
+from . import backoff, chat, importance, ivfpq, jaccard_join, mixing, neardup_vectors, packing, pii, tokenstore
 from .storage import read_table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -24,6 +24,10 @@ def op3_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.self_search(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(read_table(spark, sf_dir, "conversations"))
 
@@ -48,5 +52,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_ivf_pq_search, op5_chat_formatting, op6_cost_balanced_packing, op7_importance_resampling, op8_ngram_jaccard_join, op9_token_shards, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_pii_surrogates, op3_ivf_pq_search, op4_stupid_backoff, op5_chat_formatting, op6_cost_balanced_packing, op7_importance_resampling, op8_ngram_jaccard_join, op9_token_shards, op10_source_mixing)}
 ORACLE = {"op1_embedding_near_dedup": neardup_vectors.ORACLE, "op5_chat_formatting": chat.ORACLE, "op8_ngram_jaccard_join": jaccard_join.ORACLE, "op10_source_mixing": mixing.ORACLE}
