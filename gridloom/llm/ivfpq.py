@@ -9,7 +9,7 @@ in double precision on the original vectors, and the best k go on to be merged p
 
 The index is dealt by list; a list beyond ``block`` rows is dealt into blocks by a hash of the id and each
 block meets the list's queries on its own, as queries beyond ``query_block`` are dealt. So no task holds a hot
-list or all queries of one, and what leaves a task is at most k rows per query and block.
+list or all queries of one, and a task merges what its lists gave before k rows per query leave it.
 
 With isotropic vectors of a few dozen dimensions neighbours spread over most lists: ``probe_share`` is the share
 of lists visited, measured to give a recall above 0.9 (README); clustered data need far fewer.
@@ -136,6 +136,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int | Non
     key = ["list", "b", "qb"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_q, best_v, best_s, held = [], [], [], 0  # of all lists of this task: merged before anything leaves it
+
+        def merge() -> None:
+            nonlocal best_q, best_v, best_s, held
+            q, v, s = (np.concatenate(x) for x in (best_q, best_v, best_s))
+            order = np.lexsort((v, -s, q))
+            q, v, s = q[order], v[order], s[order]
+            first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+            keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+            best_q, best_v, best_s, held = [q[keep]], [v[keep]], [s[keep]], int(keep.sum())
+
+        def flush() -> pa.RecordBatch:
+            nonlocal best_q, best_v, best_s, held
+            out = pa.RecordBatch.from_arrays([pa.array(x[0]) for x in (best_q, best_v, best_s)], names=["query_id", "vec_id", "score"])
+            best_q, best_v, best_s, held = [], [], [], 0
+            return out
+
         for g in groups(batches, key):
             side = g.column("side").to_numpy()
             nq = int((side == 0).sum())  # queries come first
@@ -163,7 +180,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int | Non
                     out_q.append(np.full(len(c2), qid[b + i]))
                     out_v.append(vid[c[c2]])
                     out_s.append(exact[c2])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+            best_q += out_q
+            best_v += out_v
+            best_s += out_s
+            held += sum(map(len, out_q))
+            if held > 500_000:
+                merge()
+                if held > 250_000:
+                    yield flush()
+        if held:
+            merge()
+            yield flush()
 
     near = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(meet, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
