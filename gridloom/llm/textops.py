@@ -127,6 +127,9 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
             yield mix(whole + np.uint64(c))
 
 
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
 class WordCache:
     """Token ids of whole texts, exactly those of a ``tokenizers`` file, through a bounded cache of pieces.
 
@@ -145,8 +148,8 @@ class WordCache:
         self.tok.encode_special_tokens = True
         self.spaced, self.most = spaced, most
         vocab = self.tok.get_vocab()
-        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin a piece with a space
-        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin a piece with a space, or end a word
+        self.opens[[i for t, i in vocab.items() if (t.startswith("\u0120") if spaced else t.endswith("</w>"))]] = True
         self.between = "\n" if spaced else " | "
         self.between_id = self.tok.encode(self.between, add_special_tokens=False).ids[0]
         self.clear()
@@ -155,10 +158,24 @@ class WordCache:
         self.known: dict[str, int] = {}
         self.ids, self.n_ids = np.empty(1 << 16, np.uint32), 0
         self.off, self.n = np.zeros(1 << 14, np.int64), 0
+        self.hits = np.zeros(1 << 14, np.int64)
+
+    def shrink(self) -> None:
+        """Forget the pieces that were met once."""
+        keep = np.flatnonzero(self.hits[: self.n] > 1)
+        pieces = list(self.known)
+        size, off, ids, hits = self.off[1:] - self.off[:-1], self.off, self.ids, self.hits
+        self.clear()
+        if len(keep) <= self.most // 2:
+            upto = np.cumsum(size[keep])
+            got = ids[np.repeat(off[keep] - (upto - size[keep]), size[keep]) + np.arange(upto[-1] if len(upto) else 0)]
+            self._add([pieces[k] for k in keep.tolist()], got, size[keep])
+            self.hits[: self.n] = hits[keep] // 2
 
     def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.n + len(pieces) + 1 > len(self.off):
             self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
@@ -167,17 +184,38 @@ class WordCache:
         self.n += len(pieces)
         self.n_ids += len(ids)
 
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these pieces one after the other, where each ends, from 0)."""
+        size = self.off[at + 1] - self.off[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.off[at] - upto[:-1], size) + np.arange(upto[-1])], upto
+
     def _learn(self, new: set[str]) -> None:
-        """Encode unknown pieces, many to a text; the library's own boundaries give each piece its ids."""
-        alone = [p for p in new if p == "\n" or "|" in p and not self.spaced]
-        led = sorted(p for p in new if self.spaced and p[0] == " ")
-        rest = sorted(new.difference(alone, led))
-        for i in range(0, len(led), 4096):
-            part = led[i : i + 4096]
-            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) == len(part):
-                self._add(part, ids, np.diff(np.append(starts, len(ids))))
+        """Encode unknown pieces. Punctuation at the end of a word is a piece of its own to the library, so such a word
+        is put together from two; the others go many to a text, and the ids themselves tell where each begins."""
+        made: list[tuple[str, str, str]] = []
+        simple: set[str] = set()
+        for w in new:
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and stem and stem[-1].isalnum():
+                made.append((w, stem, w[len(stem) :]))
+            else:
+                simple.add(w)
+        simple.update(x for _, a, b in made for x in (a, b) if x not in self.known)
+        if self.spaced:
+            plain = sorted(p for p in simple if p[0] == " ")
+            rest = sorted(p for p in simple if p[0] != " " and p != "\n")
+            alone = [p for p in simple if p == "\n"]
+        else:
+            plain = sorted(p for p in simple if p.isalpha())
+            rest = sorted(p for p in simple if not p.isalpha() and "|" not in p)
+            alone = [p for p in simple if "|" in p]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.tok.encode_batch_fast([("" if self.spaced else " ").join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(self.opens[ids])
+            if len(marks) == len(part):
+                self._add(part, ids, np.diff(np.append(marks, len(ids))) if self.spaced else np.diff(np.append(-1, marks)))
             else:
                 alone += part
         for i in range(0, len(rest), 4096):
@@ -191,6 +229,9 @@ class WordCache:
                 alone += part
         for e, p in zip(self.tok.encode_batch_fast(alone, add_special_tokens=False), alone, strict=True):
             self._add([p], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+        if made:
+            ids, upto = self._gather(np.array([self.known[x] for _, a, b in made for x in (a, b)], np.int64))
+            self._add([w for w, _, _ in made], ids, np.diff(upto[::2]))
 
     def _pieces(self, text: str) -> list[str] | None:
         """None: the text must be encoded whole."""
@@ -205,7 +246,7 @@ class WordCache:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
         if self.n > self.most:
-            self.clear()
+            self.shrink()
         split = [self._pieces(t) if t else [] for t in texts]
         whole = [t for t, p in zip(texts, split, strict=True) if p is None]
         flat = [w for p in split if p for w in p]
@@ -215,9 +256,8 @@ class WordCache:
             self._learn(new - {""})
         direct = iter(self.tok.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        size = self.off[at + 1] - self.off[at]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        got = self.ids[np.repeat(self.off[at] - upto[:-1], size) + np.arange(upto[-1])]
+        self.hits[: self.n] += np.bincount(at, minlength=self.n)
+        got, upto = self._gather(at)
         ends = upto[np.cumsum([len(p or ()) for p in split])] if split else np.empty(0, np.int64)
         lens = np.diff(np.concatenate([[0], ends]))
         if not whole:
