@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .neardup_vectors import local_roots
 from .prefixtree import PrefixTree, needed
-from .storage import materialize
+from .storage import discard, materialize
 from .textops import as_strings, mix, shingle_sets, slices
 from .vectors import groups
 
@@ -44,51 +44,60 @@ PLAIN_PREFIX, PLAIN_SHARE, PLAIN_COMMON = 35, 0.9, 5
 BROADCAST_ROWS = 400_000
 
 
-def set_table(docs: DataFrame, size: int = 5) -> DataFrame:
-    """A table doc_id, n, fp (null for the empty set), toks (the ordered set as bytes)."""
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    n = np.array([len(s) for s in sets], np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(np.array([np.add.reduce(mix(s)) for s in sets], np.uint64) + n).view(np.int64)
+
+
+def measure(docs: DataFrame, size: int = 5) -> tuple[DataFrame, np.ndarray]:
+    """(a table doc_id, n, fp: null for the empty set; the heavy cells). One scan gives both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen, held, n_held = np.zeros(1 << CELL_BITS, np.uint32), set(), [], 0
         for batch in batches:
             texts = as_strings(batch.column(1))
             for i, j in slices(texts):
                 sets = list(shingle_sets(texts.slice(i, j - i), size))
-                n = np.array([len(s) for s in sets], np.int64)
-                with np.errstate(over="ignore"):
-                    fp = mix(np.array([np.add.reduce(mix(s)) for s in sets], np.uint64) + n.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(fp, mask=n == 0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "fp", "toks"])
+                n, fp = np.array([len(s) for s in sets], np.int64), fingerprints(sets)
+                for f, t in _distinct(fp, sets, seen):
+                    held.append(t)
+                    n_held += len(t)
+                if n_held > 1_000_000:
+                    _count(total, held)
+                    n_held = 0
+                nothing = pa.nulls(j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(fp, mask=n == 0), nothing.cast(pa.int32()), nothing.cast(pa.binary())],
+                                                 names=["doc_id", "n", "fp", "part", "counts"])
+        _count(total, held)
+        nothing = pa.nulls(1, pa.int64())
+        for part, x in enumerate(np.split(total, PARTS)):
+            if x.any():
+                yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["doc_id", "n", "fp", "part", "counts"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(rows.mapInArrow(run, "doc_id long, n long, fp long, toks binary"), "shingle-sets")
+    both = materialize(rows.mapInArrow(run, "doc_id long, n long, fp long, part int, counts binary"), "shingle-sets", compression="zstd")
+    return both.where("part is null").select("doc_id", "n", "fp"), heavy_cells(both.where("part is not null").select("part", "counts"))
+
 
+def _count(total: np.ndarray, held: list[np.ndarray]) -> None:
+    if held:
+        total += np.bincount((np.concatenate(held) >> SHIFT).astype(np.int64), minlength=len(total)).astype(np.uint32)
+        held.clear()
 
-def _distinct(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(fp, tokens) of sets that this task has not had yet; ``seen`` is bounded."""
-    toks = batch.column("toks")
-    for k, fp in enumerate(batch.column("fp").to_pylist()):
-        if fp is not None and fp not in seen:
+
+def _distinct(fps: np.ndarray, sets: list[np.ndarray], seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(fp, tokens) of non-empty sets that this task has not had yet; ``seen`` is bounded."""
+    for fp, t in zip(fps.tolist(), sets, strict=True):
+        if len(t) and fp not in seen:
             if len(seen) > 500_000:
                 seen.clear()
             seen.add(fp)
-            yield fp, np.frombuffer(toks[k].as_buffer(), np.uint64)
-
+            yield fp, t
 
-def heavy_cells(sets: DataFrame) -> np.ndarray:
-    """One flag per cell of the sketch: more documents than chance and 64 have a token there."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, held, n = np.zeros(1 << CELL_BITS, np.uint32), set(), [], 0
-        for batch in batches:
-            for _, t in _distinct(batch, seen):
-                held.append(t)
-                n += len(t)
-                if n > 2_000_000:
-                    total += np.bincount((np.concatenate(held) >> SHIFT).astype(np.int64), minlength=len(total)).astype(np.uint32)
-                    held, n = [], 0
-        if held:
-            total += np.bincount((np.concatenate(held) >> SHIFT).astype(np.int64), minlength=len(total)).astype(np.uint32)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(total, PARTS)], pa.binary())], names=["part", "counts"])
+def heavy_cells(counted: DataFrame) -> np.ndarray:
+    """One flag per cell of the sketch: more documents than chance and 64 have a token there. ``counted``: part, counts."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -98,7 +107,6 @@ def heavy_cells(sets: DataFrame) -> np.ndarray:
         for part, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([int(s.sum())]), pa.array([s.tobytes()], pa.binary())], names=["part", "total", "counts"])
 
-    counted = sets.select("fp", "toks").mapInArrow(count, "part int, counts binary")
     summed = materialize(counted.repartition(PARTS, "part").mapInArrow(add, "part int, total long, counts binary"), "shingle-sketch")
     load = (summed.agg(F.sum("total")).first()[0] or 0) / (1 << CELL_BITS)
     limit = 64 + load + 8 * math.sqrt(load)
@@ -241,49 +249,68 @@ def _verify_blocks(percent: int):
 
 def link_documents(docs: DataFrame, percent: int = 80, size: int = 5, longest_list: int = 256, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    sets = set_table(docs, size)
-    heavy_bits = heavy_cells(sets)
+    sets, heavy_bits = measure(docs, size)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, seen = np.unpackbits(heavy_bits).astype(bool), set()
         for batch in batches:
-            toks, fps, plain, n = [], [], [], []
-            for fp, t in _distinct(batch, seen):
-                p, is_plain = prefix(t, heavy, percent)
-                toks.append(p)
-                fps.append(fp)
-                plain.append(is_plain)
-                n.append(len(t))
-            if toks:
-                count = [len(t) for t in toks]
-                cols = [np.concatenate(toks).view(np.int64), np.repeat(np.array(fps, np.int64), count), np.repeat(np.array(n, np.int64), count), np.repeat(np.array(plain, np.int64), count)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tok", "fp", "n", "plain"])
-
-    lists = sets.select("fp", "toks").mapInArrow(postings, "tok long, fp long, n long, plain long").repartition("tok").sortWithinPartitions("tok", "fp")
+            texts = as_strings(batch.column(0))
+            for i, j in slices(texts):
+                own = list(shingle_sets(texts.slice(i, j - i), size))
+                toks, fps, plain, n = [], [], [], []
+                for fp, t in _distinct(fingerprints(own), own, seen):
+                    p, is_plain = prefix(t, heavy, percent)
+                    toks.append(p)
+                    fps.append(fp)
+                    plain.append(is_plain)
+                    n.append(len(t))
+                if toks:
+                    count = [len(t) for t in toks]
+                    cols = [np.concatenate(toks).view(np.int64), *(np.repeat(np.array(x, np.int64), count) for x in (fps, n, plain))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["tok", "fp", "n", "plain"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_strings(batch.column(1))
+            for i, j in slices(texts):
+                own = list(shingle_sets(texts.slice(i, j - i), size))
+                same = np.flatnonzero(fingerprints(own) == batch.column(0).slice(i, j - i).to_numpy()).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(same, pa.int64())), pa.array([own[k].tobytes() for k in same], pa.binary())], names=["fp", "toks"])
+
+    lists = texts.select("text").mapInArrow(postings, "tok long, fp long, n long, plain long").repartition("tok").sortWithinPartitions("tok", "fp")
     met = materialize(lists.mapInArrow(_lists(percent, longest_list), "a long, b long, need long"), "shingle-pairs")
-    pairs = materialize(met.where("need > 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b"), "shingle-candidates")
+    pairs = materialize(met.where("need > 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b", "c"), "shingle-candidates")
     family = materialize(connected_components(met.where("need = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))), "shingle-families")
+    discard(met)
 
     # the sets that take part, one row per fingerprint
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(family.select(F.col("node").alias("fp"))).distinct()
     firsts = materialize(sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "shingle-firsts")
     wanted = materialize(firsts.join(wanted, "fp").select("fp", F.col("first").alias("doc_id")), "shingle-wanted")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    chosen = materialize(sets.join(small, ["doc_id", "fp"]).select("fp", "toks"), "shingle-chosen")
+    chosen = materialize(texts.join(small, "doc_id").select("fp", "text").mapInArrow(again, "fp long, toks binary"), "shingle-chosen")
 
-    partner = pairs.join(chosen, pairs["b"] == chosen["fp"]).select("a", "b", F.lit(1).alias("own"), "toks")
-    probe = pairs.select("a").distinct().join(chosen, F.col("a") == F.col("fp")).select("a", F.col("a").alias("b"), F.lit(0).alias("own"), "toks")
-    bundles = partner.unionByName(probe).repartition("a").sortWithinPartitions("a", "own", "b")
-    links = bundles.mapInArrow(_verify_bundles(percent), "u long, v long")
+    def verify(some: DataFrame) -> DataFrame:
+        partner = some.join(chosen, some["b"] == chosen["fp"]).select("a", "b", F.lit(1).alias("own"), "toks")
+        probe = some.select("a").distinct().join(chosen, F.col("a") == F.col("fp")).select("a", F.col("a").alias("b"), F.lit(0).alias("own"), "toks")
+        return partner.unionByName(probe).repartition("a").sortWithinPartitions("a", "own", "b").mapInArrow(_verify_bundles(percent), "u long, v long")
 
     sizes = materialize(family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("m")), "shingle-family-sizes")
     member = family.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     member = member.select(F.col("component").alias("family"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("node").alias("fp"))
     key = ["family", "lo", "hi"]
     blocks = member.join(chosen, "fp").select(*key, "own", "fp", "toks").repartition(*key).sortWithinPartitions(*key)
-    found = materialize(links.unionByName(blocks.mapInArrow(_verify_blocks(percent), "u long, v long")), "shingle-links")
-
-    root = connected_components(found)
+    # first each set's best partner and the families; then only pairs that these links don't already connect
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    found = materialize(verify(best).unionByName(blocks.mapInArrow(_verify_blocks(percent), "u long, v long")), "shingle-links")
+    of_a = materialize(connected_components(found).toDF("a", "of_a"), "shingle-sides")
+    of_b = of_a.toDF("b", "of_b")
+    open_ = pairs.join(best, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+    open_ = materialize(open_.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "shingle-open")
+    more = materialize(verify(open_), "shingle-links")
+
+    root = connected_components(found.unionByName(more))
     by = materialize(firsts.join(root.withColumnRenamed("node", "fp"), "fp"), "shingle-roots")
     least = materialize(by.groupBy("component").agg(F.min("first").alias("component_id")), "shingle-least")
     named = materialize(by.join(least, "component").select("fp", "component_id"), "shingle-named")
