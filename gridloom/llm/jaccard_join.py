@@ -73,13 +73,32 @@ def measure(docs: DataFrame, size: int = 5) -> tuple[DataFrame, np.ndarray]:
         nothing = pa.nulls(1, pa.int64())
         for part, x in enumerate(np.split(total, PARTS)):
             if x.any():
-                yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["doc_id", "n", "fp", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array([part], pa.int32()), pa.array([packed(x)], pa.binary())], names=["doc_id", "n", "fp", "part", "counts"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = materialize(rows.mapInArrow(run, "doc_id long, n long, fp long, part int, counts binary"), "shingle-sets", compression="zstd")
     return both.where("part is null").select("doc_id", "n", "fp"), heavy_cells(both.where("part is not null").select("part", "counts"))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Cells of one part of the sketch (65,536 of them): all, or the places and values of those that aren't 0."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(k).max)
+    some = np.flatnonzero(counts)
+    head = bytes([np.dtype(kind).itemsize, len(some) * 3 < len(counts)])
+    if head[1]:
+        return head + some.astype(np.uint16).tobytes() + counts[some].astype(kind).tobytes()
+    return head + counts.astype(kind).tobytes()
+
+
+def add_packed(sums: np.ndarray, blob: memoryview) -> None:
+    kind = np.dtype(f"u{blob[0]}")
+    if blob[1]:
+        n = (len(blob) - 2) // (2 + kind.itemsize)
+        sums[np.frombuffer(blob, np.uint16, n, 2)] += np.frombuffer(blob, kind, n, 2 + 2 * n)
+    else:
+        sums += np.frombuffer(blob, kind, offset=2)
+
+
 def _count(total: np.ndarray, held: list[np.ndarray]) -> None:
     if held:
         total += np.bincount((np.concatenate(held) >> SHIFT).astype(np.int64), minlength=len(total)).astype(np.uint32)
@@ -102,8 +121,10 @@ def heavy_cells(counted: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(blob, np.uint32).astype(np.int64)
+            for k, part in enumerate(batch.column(0).to_pylist()):
+                if part not in sums:
+                    sums[part] = np.zeros((1 << CELL_BITS) // PARTS, np.int64)
+                add_packed(sums[part], memoryview(batch.column(1)[k].as_buffer()))
         for part, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([int(s.sum())]), pa.array([s.tobytes()], pa.binary())], names=["part", "total", "counts"])
 
