@@ -34,7 +34,7 @@ from .storage import materialize
 from .textops import as_strings, ngrams, words
 
 KEY_BITS = 48
-BATCH_BYTES = 24_000_000
+BATCH_BYTES = 8_000_000
 
 
 def _batches(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[pa.Table]:
