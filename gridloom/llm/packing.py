@@ -136,7 +136,7 @@ class _Packer:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, spaced: bool = True, end_id: int = 1, width: int = 2048,
-                   quadratic: float = 1.0, buffer_sequences: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   quadratic: float = 1.0, buffer_sequences: int = 512, cache_pieces: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; see the module's text. ``tokenizer`` is the path of a ``tokenizers`` file on every machine."""
     if width & (width - 1):
         raise ValueError("width must be a power of two")
@@ -147,7 +147,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaced: bool = True, end_id:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = word_cache(tokenizer, spaced)
+        cache = word_cache(tokenizer, spaced, cache_pieces)
         out = _Packer(TaskContext.get().partitionId(), width, quadratic)
         waiting: list[tuple] = []
         held = 0

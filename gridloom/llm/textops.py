@@ -141,7 +141,7 @@ class WordCache:
     character, or with a capital sigma (whose lower case depends on its place), is encoded whole.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 600_000):
+    def __init__(self, path: str, spaced: bool, most: int):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -270,11 +270,11 @@ class WordCache:
         return np.concatenate(parts), lens
 
 
-_CACHES: dict[tuple[str, bool], WordCache] = {}
+_CACHES: dict[tuple[str, bool, int], WordCache] = {}
 
 
-def word_cache(path: str, spaced: bool) -> WordCache:
-    """The cache of this Python worker: it outlives a task, as the worker does."""
-    if (path, spaced) not in _CACHES:
-        _CACHES[path, spaced] = WordCache(path, spaced)
-    return _CACHES[path, spaced]
+def word_cache(path: str, spaced: bool, most: int) -> WordCache:
+    """The cache of this Python worker, of at most ``most`` pieces (some 150 bytes each): it outlives a task, as the worker does."""
+    if (path, spaced, most) not in _CACHES:
+        _CACHES[path, spaced, most] = WordCache(path, spaced, most)
+    return _CACHES[path, spaced, most]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .storage import fresh_path, materialize, open_input, write_file
 from .textops import as_strings, slices, word_cache
 
+CACHE_PIECES = 1_000_000
 MAGIC, END = b"GLTS0001", b"GLTSEND1"
 FOOTER = struct.Struct("<QQBQ8s")
 
@@ -58,7 +59,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int,
     kind = np.uint16 if width == 2 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache(tokenizer, spaced)
+        cache = word_cache(tokenizer, spaced, CACHE_PIECES)
         for batch in batches:
             texts, keys = as_strings(batch.column(1)), batch.column(0).to_pylist()
             for i, j in slices(texts):
@@ -182,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, spaced: bool, end_i
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, shard = TaskContext.get().partitionId(), 0
-        cache, out = word_cache(tokenizer, spaced), ShardWriter(dictionary, width, level)
+        cache, out = word_cache(tokenizer, spaced, CACHE_PIECES), ShardWriter(dictionary, width, level)
 
         def roll() -> pa.RecordBatch:
             nonlocal shard
