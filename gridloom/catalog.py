@@ -450,7 +450,10 @@ def array_filter_mask(spark, sf_dir):
 
 @query()
 def html_first_table(spark, sf_dir):
-    return tables.exploded(load(spark, sf_dir, "pages"), "page_id", tables.html_tables_of(F.col("html"))).where(F.col("table") == 0)
+    # pages are mostly prose: each gets a table of its own at its end, so that every page has one
+    own = F.concat(F.lit("<table><tr><th>page<th>url</tr><tr><td>"), F.col("page_id").cast("string"), F.lit("<td>"), F.coalesce("url", F.lit("")), F.lit("</table>"))
+    pages = load(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), own).alias("html"))
+    return tables.exploded(pages, "page_id", tables.html_tables_of(F.col("html"))).where(F.col("table") == 0)
 
 
 @query()

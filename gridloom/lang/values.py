@@ -155,7 +155,10 @@ BUILTINS = {
 
 def formula(name: str, args: list) -> object:
     """A formula function from a script: an error value stops it."""
-    out = S.call(name.upper(), args)
+    try:
+        out = S.call(name.upper(), args)
+    except S.Stop as stop:
+        out = stop.err
     if isinstance(out, S.Err):
         raise GridError(f"{name.upper()}: {out.label}")
     return out
