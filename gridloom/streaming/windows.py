@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ordering import ROW, number_rows
+
 
 def _time(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("timestamp")
@@ -32,9 +34,19 @@ def _names(aggs: list[Column]) -> list[str]:
     return [a._jc.toString().rpartition(" AS ")[2].strip("`") for a in aggs]
 
 
-def every(stream: DataFrame, rows: int, sink, key: str = "__batch") -> StreamingQuery:
-    """A count trigger: ``sink(frame, number)`` gets micro-batches; sources are told to give about ``rows`` rows each."""
-    return stream.writeStream.option("maxRowsPerTrigger", rows).queryName(key).foreachBatch(sink).start()
+def every(stream: DataFrame, rows: int, sink) -> StreamingQuery:
+    """A count trigger: ``sink(frame, number)`` is called for every ``rows`` rows that came, and for what is left at the end of a batch."""
+    number = 0
+
+    def split(batch: DataFrame, _: int) -> None:
+        nonlocal number
+        numbered = number_rows(batch).persist()
+        for k in range(-(-numbered.count() // rows)):
+            sink(numbered.where((F.col(ROW) >= k * rows) & (F.col(ROW) < (k + 1) * rows)).drop(ROW), number)
+            number += 1
+        numbered.unpersist()
+
+    return stream.writeStream.trigger(availableNow=True).foreachBatch(split).start()
 
 
 def until_end(stream: DataFrame, sink) -> None:

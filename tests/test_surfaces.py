@@ -43,3 +43,22 @@ def test_command_line(spark, capsys, tmp_path):
     assert cli.main(["-e", "dim r = 1 / 0"]) == 1 and "line 1: division by zero" in capsys.readouterr().err
     s = Sheet.from_records(spark, [{"a": 1, "b": "x,y"}])
     assert cli.shown(s, "csv") == 'a,b\n1,"x,y"' and cli.shown(s, "table") == "a  b\n1  x,y" and json.loads(cli.shown(s, "json")) == [{"a": 1, "b": "x,y"}]
+
+
+def test_cell_data(spark):
+    import pyspark.sql.functions as F
+
+    from gridloom.functions.celldata import field
+
+    df = spark.createDataFrame([('{"ue": 1, "userEnteredValue": 2, "formattedValue": "x"}',), ("{}",), (None,)], "c string")
+    got = df.select(field(F.col("c"), "user_entered_value").alias("a"), field(F.col("c"), "formatted_value").alias("b")).collect()
+    assert [tuple(r) for r in got] == [("1", "x"), (None, None), (None, None)]
+
+
+def test_count_trigger(spark, tmp_path):
+    from gridloom.streaming import windows
+
+    spark.range(25).write.parquet(str(tmp_path / "in"))
+    sizes = []
+    windows.every(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), 10, lambda df, _: sizes.append(df.count())).awaitTermination()
+    assert sum(sizes) == 25 and max(sizes) <= 10
