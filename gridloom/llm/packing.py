@@ -136,7 +136,7 @@ class _Packer:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, spaced: bool = True, end_id: int = 1, width: int = 2048,
-                   quadratic: float = 1.0, buffer_sequences: int = 512, cache_pieces: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   quadratic: float = 1.0, buffer_sequences: int = 512, cache_pieces: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; see the module's text. ``tokenizer`` is the path of a ``tokenizers`` file on every machine."""
     if width & (width - 1):
         raise ValueError("width must be a power of two")
@@ -153,7 +153,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, spaced: bool = True, end_id:
         held = 0
         for batch in batches:
             texts, docs_ = as_strings(batch.column(1)), batch.column(0).to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, 2_000_000):
                 ids, lens = cache.encode(texts.slice(i, j - i).to_pylist())
                 ends = np.cumsum(lens)
                 for doc, b, e in zip(docs_[i:j], (ends - lens).tolist(), ends.tolist(), strict=True):

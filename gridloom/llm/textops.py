@@ -18,7 +18,7 @@ KIND = np.where(SPACE, 0, 1).astype(np.uint8)  # 2: ASCII punctuation
 KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -62,7 +62,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int,
         cache = word_cache(tokenizer, spaced, CACHE_PIECES)
         for batch in batches:
             texts, keys = as_strings(batch.column(1)), batch.column(0).to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, 2_000_000):
                 got, lens = cache.encode(texts.slice(i, j - i).to_pylist())
                 ends = np.cumsum(lens)
                 blobs = [np.append(got[e - n : e], np.uint32(end_id)).astype(kind).tobytes()[:sample_bytes] for e, n in zip(ends, lens, strict=True)]
@@ -197,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, spaced: bool, end_i
 
         for batch in batches:
             texts, keys = as_strings(batch.column(1)), batch.column(0).to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, 2_000_000):
                 got, lens = cache.encode(texts.slice(i, j - i).to_pylist())
                 ends = np.cumsum(lens)
                 for doc, e, size in zip(keys[i:j], ends.tolist(), lens.tolist(), strict=True):
