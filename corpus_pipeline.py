@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import importance, jaccard_join, mixing, packing, pii
-from gridloom.llm.storage import materialize, read_table
+from gridloom.llm.storage import discard, materialize, read_table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: representatives fewer than this are broadcast (some 10 MB), else joined by a shuffle
@@ -48,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, TOKENIZER, end_id=1)
+    return packing.pack_documents(docs, TOKENIZER, end_id=1, cache_pieces=300_000)  # after four stages an executor has less room
 
 
 STAGES = [("quality", quality), ("near_dups", near_dups), ("pii", private_data), ("mixing", mixture), ("packing", sequences)]
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
