@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .neardup_vectors import local_roots
 from .prefixtree import PrefixTree, needed
-from .storage import discard, materialize
+from .storage import discard, materialize, release
 from .textops import as_strings, mix, shingle_sets, slices
 from .vectors import groups
 
@@ -268,6 +268,11 @@ def _verify_blocks(percent: int):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it was counted to be small, else as it is: the join then shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def link_documents(docs: DataFrame, percent: int = 80, size: int = 5, longest_list: int = 256, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     sets, heavy_bits = measure(docs, size)
@@ -304,27 +309,28 @@ def link_documents(docs: DataFrame, percent: int = 80, size: int = 5, longest_li
     pairs = materialize(met.where("need > 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b", "c"), "shingle-candidates")
     family = materialize(connected_components(met.where("need = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))), "shingle-families")
     discard(met)
+    release(docs.sparkSession)
 
     # the sets that take part, one row per fingerprint
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(family.select(F.col("node").alias("fp"))).distinct()
     firsts = materialize(sets.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "shingle-firsts")
     wanted = materialize(firsts.join(wanted, "fp").select("fp", F.col("first").alias("doc_id")), "shingle-wanted")
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    chosen = materialize(texts.join(small, "doc_id").select("fp", "text").mapInArrow(again, "fp long, toks binary"), "shingle-chosen")
+    chosen = materialize(texts.join(_small(wanted), "doc_id").select("fp", "text").mapInArrow(again, "fp long, toks binary"), "shingle-chosen")
 
     def verify(some: DataFrame) -> DataFrame:
-        partner = some.join(chosen, some["b"] == chosen["fp"]).select("a", "b", F.lit(1).alias("own"), "toks")
-        probe = some.select("a").distinct().join(chosen, F.col("a") == F.col("fp")).select("a", F.col("a").alias("b"), F.lit(0).alias("own"), "toks")
+        partner = chosen.join(_small(some), some["b"] == chosen["fp"]).select("a", "b", F.lit(1).alias("own"), "toks")
+        probe = chosen.join(_small(some.select("a").distinct()), F.col("a") == F.col("fp")).select("a", F.col("a").alias("b"), F.lit(0).alias("own"), "toks")
         return partner.unionByName(probe).repartition("a").sortWithinPartitions("a", "own", "b").mapInArrow(_verify_bundles(percent), "u long, v long")
 
     sizes = materialize(family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("m")), "shingle-family-sizes")
     member = family.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     member = member.select(F.col("component").alias("family"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("node").alias("fp"))
     key = ["family", "lo", "hi"]
-    blocks = member.join(chosen, "fp").select(*key, "own", "fp", "toks").repartition(*key).sortWithinPartitions(*key)
+    blocks = chosen.join(_small(member), "fp").select(*key, "own", "fp", "toks").repartition(*key).sortWithinPartitions(*key)
     # first each set's best partner and the families; then only pairs that these links don't already connect
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    best = materialize(pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), "shingle-best")
     found = materialize(verify(best).unionByName(blocks.mapInArrow(_verify_blocks(percent), "u long, v long")), "shingle-links")
+    release(docs.sparkSession)
     of_a = materialize(connected_components(found).toDF("a", "of_a"), "shingle-sides")
     of_b = of_a.toDF("b", "of_b")
     open_ = pairs.join(best, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
