@@ -18,6 +18,7 @@ text stays null, empty text empty; mentions that overlap are taken by place, the
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,17 +48,22 @@ SECRET = r"(?i:(?<![a-z0-9])(?:[a-z]+[_-])?(?:token|secret|password|passwd|pwd|a
 PATTERNS = [("email", EMAIL), ("secret", KEY), ("secret", SECRET), ("iban", IBAN), ("ip6", IP6), ("ip", IP), ("ssn", SSN), ("phone", PHONE), ("card", CARD)]
 _COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
 _TITLED = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.? ((?:" + _NAME + r" ){0,2}" + _NAME + ")")
-#: what a text must have to be looked at (RE2): a digit, an at sign, a secret's label or a title
-_LOOK = r"[0-9@]|(?i:token|secret|passw|pwd|key)\b|\b(?:" + "|".join(TITLES) + r")\b"
+#: what a text must have to be looked at (RE2, whose \b and \w are ASCII only): each detector's matches have one of these
+_LOOK = (r"[\p{Nd}@]|(?:[0-9A-Fa-f]{1,4}:){7}|AKIA[0-9A-Z]{16}|(?i:token|secret|password|passwd|pwd|key)[\"']? *[=:]|(?:^|[^0-9A-Za-z_])(?:" + "|".join(TITLES) + r")\.? ")
+
+
+def decimal(s: str) -> str:
+    """The digits of ``s``, of any script, as 0 to 9."""
+    return "".join(str(unicodedata.decimal(c)) for c in s if c.isdecimal())
 
 
 def normal(kind: str, found: str) -> str | None:
     """An entity's normal form; None: not one after all."""
-    digits = "".join(c for c in found if c.isdigit())
+    digits = decimal(found)
     if kind == "email":
         return found.lower()
     if kind == "phone":
-        code = m[1] if (m := re.match(r"\+(\d{1,3})(?=[ .(-])", found)) else ""
+        code = decimal(m[1]) if (m := re.match(r"\+(\d{1,3})(?=[ .(-])", found)) else ""
         rest = digits[len(code):]
         return f"{code}:{rest}" if len(rest) >= 7 else None
     if kind == "card":
