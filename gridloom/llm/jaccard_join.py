@@ -171,8 +171,6 @@ def _lists(percent: int, longest: int):
             tok, fp, n, plain = cols
             if not len(tok):
                 return
-            keep = np.append(True, (tok[1:] != tok[:-1]) | (fp[1:] != fp[:-1]))
-            tok, fp, n, plain = tok[keep], fp[keep], n[keep], plain[keep]
             cut = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
             size = np.diff(np.append(cut, len(tok)))
             a, b, need, far = [], [], [], []
@@ -200,6 +198,12 @@ def _lists(percent: int, longest: int):
                 f = np.concatenate(far, axis=1)
                 yield batch_of(f[0], f[1], np.zeros(f.shape[1], np.int64))
 
+        def distinct(cols: list[np.ndarray]) -> list[np.ndarray]:
+            """Without the rows that repeat a (tok, fp): a copied set comes once from each task that has a copy."""
+            tok, fp = cols[:2]
+            keep = np.append(True, (tok[1:] != tok[:-1]) | (fp[1:] != fp[:-1]))
+            return [c[keep] for c in cols]
+
         def batch_of(*cols: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "need"])
 
@@ -207,8 +211,9 @@ def _lists(percent: int, longest: int):
             cols = [np.concatenate([c, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in enumerate(carry)]
             if not len(cols[0]):
                 continue
+            cols = distinct(cols)
             at = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-            if len(cols[0]) - at > 4 * longest:  # a long list goes out as it comes
+            if len(cols[0]) - at > 4 * longest:  # of different sets, so emit() makes it a family; it goes out as it comes
                 at = len(cols[0])
             yield from emit([c[:at] for c in cols])
             carry = [c[at:] for c in cols]

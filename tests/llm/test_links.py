@@ -1,8 +1,10 @@
 """Near duplicates of vectors and texts, components, nearest neighbours: all against brute force."""
 
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,6 +144,42 @@ def test_text_links(spark, longest, block, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), root[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize(("sets", "longest"), [(8, 10), (12, 10), (60, 10)])
+def test_lists_of_copied_sets(sets, longest):
+    rows = [(tok, fp) for tok in (3, 5) for fp in range(sets) for _ in range(50)] + [(9, 0), (9, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([t for t, _ in part], [f for _, f in part], [100] * len(part), [0] * len(part))], names=["tok", "fp", "n", "plain"])
+               for part in (rows[i : i + 45] for i in range(0, len(rows), 45))]
+    got = Counter(x for b in jaccard_join._lists(80, longest)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    pairs, family = Counter({(a, b, 1): k for (a, b, need), k in got.items() if need}), {(a, b) for a, b, need in got if not need}
+    want = Counter({(0, 1, 1): 1})
+    if sets <= longest:
+        want += Counter({(a, b, 1): 2 for a in range(sets) for b in range(a + 1, sets)})
+    assert pairs == want and family == ({(0, b) for b in range(sets)} if sets > longest else set())
+
+
+def test_links_of_sets_copied_over_partitions(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(120)]
+    variants = []
+    for _ in range(12):
+        copy = list(words)
+        copy[int(rng.integers(0, 120))] = "other"
+        variants.append(" ".join(copy))
+    rows = [(100 * k + i, t) for k in range(40) for i, t in enumerate(variants)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        for longest in (4, 20):
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+            got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(df, longest_list=longest).collect()}
+            sets = {i: shingles(t) for i, t in rows[:12]}
+            links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+            root = roots(sets, links)
+            assert got == {d: root[d % 100] for d, _ in rows}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_text_links_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard_join.link_documents(df).collect())) == [(1, 0, 1), (2, 0, 2)]
