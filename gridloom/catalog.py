@@ -104,9 +104,9 @@ def map_range_lower(spark, sf_dir):
 # joins
 
 
-def _sheet_join(how: str, keys: str = "text") -> Query:
+def _sheet_join(how: str, keys: str = "text", some: str = "c_custkey % 2 = 0") -> Query:
     def run(spark, sf_dir):
-        c = load(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
+        c = load(spark, sf_dir, "customer").where(some).select("c_custkey", "c_name")
         o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
         return joins.join(c, o, ("c_custkey", "o_custkey"), how, keys)
 
@@ -117,6 +117,9 @@ for _how, _key in (("inner", "c_custkey"), ("left", "c_custkey"), ("right", "o_c
     QUERIES[f"join_{_how}"] = _sheet_join(_how)
     QUERIES[f"join_{_how}_native"] = _sheet_join(_how, "sql")
     ORACLE[f"join_{_how}"] = ORACLE[f"join_{_how}_native"] = f"select {_key}, c_name, o_orderkey from (select * from customer where c_custkey % 2 = 0) c {_how} join orders o on c_custkey = o_custkey"
+    QUERIES[f"join_{_how}_whole"] = _sheet_join(_how, some="true")
+    QUERIES[f"join_{_how}_whole_native"] = _sheet_join(_how, "sql", some="true")
+    ORACLE[f"join_{_how}_whole"] = ORACLE[f"join_{_how}_whole_native"] = f"select {_key}, c_name, o_orderkey from customer c {_how} join orders o on c_custkey = o_custkey"
 
 
 @query("""select l.k, l.a, r.b from (values (null, 1), ('', 2), ('30', 3), ('x', 4)) l(k, a)
@@ -129,6 +132,7 @@ def join_null_safe_string_key(spark, sf_dir):
 
 sql("join_cross", "select r_name, n_name from region cross join nation", "region nation")
 sql("join_theta", "select a.p_partkey, b.p_partkey as other from part a join part b on a.p_size = b.p_size and a.p_retailprice < b.p_retailprice where a.p_partkey <= 200", "part")
+sql("join_theta_whole", "select a.p_partkey, b.p_partkey as other from part a join part b on a.p_size = b.p_size and a.p_retailprice < b.p_retailprice", "part")
 
 
 @query("select s_suppkey, s_name, s_nationkey, n_name, n_regionkey, r_name from supplier join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
@@ -186,7 +190,16 @@ def xlookup_next_larger(spark, sf_dir):
 
 @query("""select event_id, (select arg_max(o_orderkey, o_orderdate) from (select o_orderdate, min(o_orderkey) as o_orderkey from orders where o_custkey = 1 group by 1) where o_orderdate <= ts) as last_order from events""")
 def asof_last_order(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_custkey = 1").groupBy(F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("at")).agg(F.min("o_orderkey").alias("o_orderkey"))
+    return _last_order(spark, sf_dir, "o_custkey = 1")
+
+
+@query("""select event_id, (select arg_max(o_orderkey, o_orderdate) from (select o_orderdate, min(o_orderkey) as o_orderkey from orders group by 1) where o_orderdate <= ts) as last_order from events""")
+def asof_last_order_whole(spark, sf_dir):
+    return _last_order(spark, sf_dir, "true")
+
+
+def _last_order(spark: SparkSession, sf_dir: str, some: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").where(some).groupBy(F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("at")).agg(F.min("o_orderkey").alias("o_orderkey"))
     e = load(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
     return lookup.nearest(e, "at", o, "at", "o_orderkey", "last_order", "below").select("event_id", "last_order")
 
@@ -299,6 +312,7 @@ def consolidate_source(spark, sf_dir):
 sql("set_union", "select c_nationkey as k from customer union select s_nationkey from supplier", "customer supplier")
 sql("set_intersect", "select c_nationkey as k from customer intersect select s_nationkey from supplier", "customer supplier")
 sql("set_except", "select o_custkey as k from orders except select c_custkey from customer where c_custkey % 2 = 0", "orders customer")
+sql("set_except_whole", "select c_custkey as k from customer except select o_custkey from orders", "customer orders")
 sql("cte", "with big as (select o_custkey, sum(o_totalprice) as t from orders group by o_custkey) select o_custkey, round(t, 2) as t from big where t > (select avg(t) from big)", "orders")
 sql("subquery_from", "select k, count(*) as n from (select o_custkey % 10 as k from orders where o_orderstatus = 'F') s group by k", "orders")
 sql("subquery_in_exists", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 100000) and exists (select 1 from nation where n_nationkey = c_nationkey and n_regionkey < 3)", "customer orders nation")
