@@ -4,13 +4,13 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame. ``run`` writes what
 shared folder and reads it back as the next one's documents; all stages but the last return the columns of documents.
 
 1. quality    importance resampling; documents below the calibrated cut go
-2. near_dups  n-gram Jaccard join; of each group the document with the smallest doc_id stays
+2. near_dups  n-gram Jaccard join; of each group the row with the smallest doc_id stays (null ids last, equal ids: the first row)
 3. pii        private strings are replaced by surrogates; n_chars follows the text
 4. mixing     sources to their target shares; a document comes as often as the mix takes it
 5. packing    token ids into sequences of 2048; one row per piece, as in query op6
 
-No stage takes a part of its input only. Rows without a doc_id go in stage 2 (they can't be compared), others with null
-columns stay; an empty table passes through all stages.
+No stage takes a part of its input only. Stage 2 numbers the rows, so rows with a null or repeated doc_id are compared
+like others; rows with null columns stay; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from gridloom.llm import importance, jaccard_join, mixing, packing, pii
 from gridloom.llm.storage import discard, materialize, read_table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: representatives fewer than this are broadcast (some 10 MB), else joined by a shuffle
+#: rows of groups fewer than this are broadcast (some 10 MB), else joined by a shuffle
 BROADCAST_ROWS = 400_000
 
 
@@ -32,10 +32,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.link_documents(docs)
-    going = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "near-dups")
-    rows = docs.where("doc_id is not null")
-    return rows.join(F.broadcast(going) if going.count() <= BROADCAST_ROWS else going, "doc_id", "left_anti").select(*docs.columns)
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-dups-rows")
+    groups = jaccard_join.link_documents(rows.select(F.col("_row").alias("doc_id"), "text"))
+    copies = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_row"), "component_id"), "near-dups-copies")
+    members = materialize(copies.unionByName(copies.select(F.col("component_id").alias("_row"), "component_id").distinct()), "near-dups-members")
+    named = materialize(rows.select("_row", "doc_id").join(_small(members), "_row"), "near-dups-named")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
+    going = materialize(named.join(first, "_row", "left_anti").select("_row"), "near-dups")
+    return rows.join(_small(going), "_row", "left_anti").select(*docs.columns)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

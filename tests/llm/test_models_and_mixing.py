@@ -211,3 +211,22 @@ def test_pipeline(spark, tmp_path):
     for _, stage in cp.STAGES:
         empty = cp.materialize(stage(spark, empty, str(tmp_path / "sf")), "test-empty")
     assert empty.count() == 0
+
+
+def test_near_dups_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    word = lambda seed, n=60: " ".join(f"w{random.Random(f'{seed}{i}').randrange(10**6)}" for i in range(n))
+    rows = [
+        (None, word("alone")), (None, word("alone too")),  # unique texts without an id
+        (None, word("a") + " end"), (1, word("a")), (None, word("a")),  # the one with an id stays
+        (2, word("b")), (3, word("b") + " end"), (3, word("c")),  # one of the rows of id 3 is a copy
+        (4, word("d")), (4, word("d")), (4, word("d")),  # the same row again
+        (None, word("e")), (None, word("e")),
+        (9, word("f")), (8, word("f")), (5, None), (5, None), (6, ""), (None, None),  # without words: no copies
+    ]
+    df = spark.createDataFrame([(d, t, "en", "s", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = cp.near_dups(spark, df, "")
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == Counter([*rows[:2], rows[3], rows[5], rows[7], rows[8], rows[11], rows[14], *rows[15:]])
