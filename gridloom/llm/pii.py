@@ -34,7 +34,8 @@ from .textops import slices
 BROADCAST_ROWS = 100_000
 #: titles and the gender they tell; "" where they tell none (then the given name's form decides nothing and m is taken)
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f",
-          "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Srta": "f", "Signor": "m", "Signora": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
+          "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Srta": "f", "Signor": "m", "Signora": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
+          "Dr": "", "Prof": "", "Professor": "", "Doctor": "", "Doktor": "", "Docteur": "", "Professeur": "", "Dott": "", "Dottor": "", "Доктор": "", "Профессор": "", "Δρ": "", "Καθηγητής": "m", "Καθηγήτρια": "f"}
 _NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
@@ -47,7 +48,7 @@ KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = r"(?i:(?<![a-z0-9])(?:[a-z]+[_-])?(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b[\"']? *[=:] *[\"']?)(?P<value>[^\s\"',;]{6,})"
 PATTERNS = [("email", EMAIL), ("secret", KEY), ("secret", SECRET), ("iban", IBAN), ("ip6", IP6), ("ip", IP), ("ssn", SSN), ("phone", PHONE), ("card", CARD)]
 _COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
-_TITLED = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.? ((?:" + _NAME + r" ){0,2}" + _NAME + ")")
+_TITLED = re.compile(r"(?<!\w)((?:(?:" + "|".join(TITLES) + r")\.? )+)((?:" + _NAME + r" ){0,2}" + _NAME + ")")
 #: what a text must have to be looked at (RE2, whose \b and \w are ASCII only): each detector's matches have one of these
 _LOOK = (r"[\p{Nd}@]|(?:[0-9A-Fa-f]{1,4}:){7}|AKIA[0-9A-Z]{16}|(?i:token|secret|password|passwd|pwd|key)[\"']? *[=:]|(?:^|[^0-9A-Za-z_])(?:" + "|".join(TITLES) + r")\.? ")
 
@@ -106,7 +107,8 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((b, -e, kind, norm))
     people: dict[str, str] = {}  # word -> kind and normal form, for mentions without a title
     for m in _TITLED.finditer(text):
-        gender, words = TITLES[m[1]], m[2].split(" ")
+        gender = next(filter(None, (TITLES[t.rstrip(".")] for t in m[1].split())), "m")
+        words = m[2].split(" ")
         for n, w in enumerate(words):
             kind = "family" if n == len(words) - 1 else "given"
             people.setdefault(w, f"{kind}\x1f{gender}:{w.lower()}")

@@ -82,6 +82,14 @@ def test_each_detector_alone(spark):
             assert x.original not in out[i].text, name
 
 
+def test_titles_without_gender():
+    for text, norms in {"Dr. Jane Smith said": ["m:jane", "m:smith"], "by Prof. Max Muster": ["m:max", "m:muster"], "Frau Dr. Eva Muster": ["f:eva", "f:muster"], "Prof. Dr. Max Muster": ["m:max", "m:muster"],
+                        "Доктор Иван Петров": ["m:иван", "m:петров"], "Δρ. Νίκος Παπάς": ["m:νίκος", "m:παπάς"], "Herr Max Muster": ["m:max", "m:muster"]}.items():
+        assert [n for _, _, _, n in pii.mentions(text)] == norms
+    for clean in ("Drive Smith", "the Dr is in", "Profs Max"):
+        assert pii.mentions(clean) == []
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = importance.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
