@@ -13,13 +13,12 @@ is run again (lost executor) makes the same pieces: all choices depend on its ro
 
 Defined results: null text is an empty document (only its end id); a document longer than a sequence
 fills whole sequences of its own and the rest is packed; equal lengths are taken in row order;
-repeated rows are packed as often as they occur; an empty table gives no pieces; columns beyond
-those named are not read.
+repeated rows are packed as often as they occur, rows without an id as such; an empty table gives no pieces; columns
+beyond those named are not read, so extra ones may have any name.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -40,36 +39,31 @@ def cost(length: int, quadratic: float, width: int) -> float:
     return length + quadratic * length * length / width
 
 
-def balance(lengths: list[int], width: int, quadratic: float = 1.0, tries: int = 8) -> list[list[tuple[int, int, int]]]:
+def balance(lengths: list[int], width: int, quadratic: float = 1.0) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length) of documents that are each at most ``width`` long.
 
-    There are ceil(total / width) sequences, all full but the last. A document goes whole to the cheapest
-    sequence with room among the ``tries`` cheapest, else it is cut.
+    There are ceil(total / width) sequences, all full but the last. A document goes whole to the cheapest of all
+    sequences that have room for it (of equally cheap ones the first); it is cut only if none has.
     """
     total = sum(lengths)
     n = -(-total // width)
-    room = [width] * n
+    room, spent = np.full(n, width, np.int64), np.zeros(n)
     if n and total % width:
         room[-1] = total % width
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
-    heap = [(0.0, s) for s in range(n)]  # the cheapest first
     left: list[int] = []
     for d in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        aside: list[tuple[float, int]] = []
-        placed = lengths[d] == 0
-        while heap and not placed and len(aside) < tries:
-            spent, s = heapq.heappop(heap)
-            if room[s] >= lengths[d]:
-                out[s].append((d, 0, lengths[d]))
-                room[s] -= lengths[d]
-                spent += cost(lengths[d], quadratic, width)
-                placed = True
-            if room[s]:
-                aside.append((spent, s))
-        for x in aside:
-            heapq.heappush(heap, x)
-        if not placed:
+        if not lengths[d]:
+            continue
+        fits = room >= lengths[d]
+        s = int(np.argmin(np.where(fits, spent, np.inf)))
+        if fits[s]:
+            out[s].append((d, 0, lengths[d]))
+            room[s] -= lengths[d]
+            spent[s] += cost(lengths[d], quadratic, width)
+        else:
             left.append(d)
+    room = room.tolist()
     # what has no whole place is cut at the room that is left, longest remainders into the roomiest sequences
     open_ = sorted((s for s in range(n) if room[s]), key=lambda s: -room[s])
     at = 0
