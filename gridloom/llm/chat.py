@@ -8,18 +8,24 @@ the template; what an assistant says is recorded as loss spans (start, length in
 Escaping: a control string opens with ``<`` or ``[``. Inside a text, whatever reads as a control string
 after dropping any run of backslashes behind its first character gets one more backslash there:
 ``</s>`` becomes ``<\\/s>`` and ``<\\/s>`` becomes ``<\\\\/s>``. No control string is left and removing one
-backslash restores the text, whatever it was.
+backslash restores the text, whatever it was. Text parts that follow each other are joined before they are escaped, so
+that a control string can't be put together from parts: every split of a text formats as the whole does. In a
+role the mark that ends it, ``|>``, is escaped in the same way.
 
-Defined results: null text is empty, null role is the empty role; messages of a conversation are ordered by
-turn, null first, ties by role and text; a null conv_id is a conversation; a part of an unknown type
-counts as text. An empty table gives no rows. A conversation becomes one string, so it must fit in a task.
+A message is visited on its own, in its row; only the numbers of its attachments depend on the messages before it (a
+running count). Messages then meet per conversation as finished texts.
+
+Defined results: null text is empty, null role is the empty role; null parts are no parts; messages of a conversation are
+ordered by turn, null first, ties by role and parts; repeated rows are messages as often as they occur; a null conv_id is a
+conversation; a part of an unknown or null type counts as text. An empty table gives no rows. Columns beyond those named are not
+read, so extra ones may have any name. A conversation becomes one string, so it must fit in a task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -73,16 +79,27 @@ def is_attachment(part: Column) -> Column:
     return F.coalesce(part["type"].isin("image", "audio", "document"), F.lit(False))
 
 
-def visit(parts: Column, first: Column, t: Template) -> Column:
-    """(text, next): the flattened text of ``parts`` whose attachments are numbered from ``first``."""
-    zero = F.struct(F.lit("").alias("text"), first.alias("next"))
+def escape_role(role: Column) -> Column:
+    return F.regexp_replace(escape(role), r"(\|\\*)(?=>)", r"$1\\")
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.regexp_replace(role, r"(\|\\*)\\(?=>)", "$1"))
+
+
+def visit(parts: Column, first: Column) -> Column:
+    """The flattened text of ``parts`` whose attachments are numbered from ``first``.
+
+    The visitor carries what is finished, the text parts since the last attachment (not escaped yet) and the next number.
+    """
+    zero = F.struct(F.lit("").alias("done"), F.lit("").alias("run"), first.cast("int").alias("next"))
 
     def step(at: Column, part: Column) -> Column:
-        own = F.when(is_attachment(part), F.concat(F.lit("<|"), part["type"], F.lit(":"), at["next"].cast("string"), F.lit("|>"))).otherwise(
-            escape(F.coalesce(part["text"], F.lit(""))))
-        return F.struct(F.concat(at["text"], own).alias("text"), (at["next"] + F.when(is_attachment(part), 1).otherwise(0)).alias("next"))
+        mark = F.concat(F.lit("<|"), part["type"], F.lit(":"), at["next"].cast("string"), F.lit("|>"))
+        return F.when(is_attachment(part), F.struct(F.concat(at["done"], escape(at["run"]), mark).alias("done"), F.lit("").alias("run"), (at["next"] + 1).alias("next"))).otherwise(
+            F.struct(at["done"].alias("done"), F.concat(at["run"], F.coalesce(part["text"], F.lit(""))).alias("run"), at["next"].alias("next")))
 
-    return F.aggregate(parts, zero, step)
+    return F.aggregate(parts, zero, step, lambda at: F.concat(at["done"], escape(at["run"])))
 
 
 def format_chats(messages: DataFrame, template: Template = Template()) -> DataFrame:
@@ -92,37 +109,30 @@ def format_chats(messages: DataFrame, template: Template = Template()) -> DataFr
     attachments (array of number, type, ref, tokens), n_turns, expanded_tokens (all attachments' tokens).
     """
     t = template
-    rows = messages.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "parts").alias("m"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    turn = "struct<role:string,text:string>"
-    zero = F.struct(F.array().cast(f"array<{turn}>").alias("turns"), F.lit(0).alias("next"))
-
-    def message(at: Column, m: Column) -> Column:
-        seen = visit(m["parts"], at["next"], t)
-        return F.struct(F.concat(at["turns"], F.array(F.struct(m["role"].alias("role"), seen["text"].alias("text")))).alias("turns"), seen["next"].alias("next"))
-
-    # messages without attachments (the usual case) are flattened side by side; numbering needs the running count only where there are some
-    has = F.exists("ms", lambda m: F.exists(m["parts"], is_attachment))
-    plain = F.transform("ms", lambda m: F.struct(m["role"].alias("role"), F.array_join(F.transform(m["parts"], lambda p: escape(F.coalesce(p["text"], F.lit("")))), "").alias("text")))
-    chats = chats.withColumn("_turns", F.when(has, F.aggregate("ms", zero, message)["turns"]).otherwise(plain))
-    head = lambda x: F.concat(F.lit(t.role), escape(x["role"]), F.lit(t.text))
+    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"))
+    rows = rows.withColumn("_own", F.filter("parts", is_attachment))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_place": F.row_number().over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_upto": F.sum(F.size("_own")).over(w)})
+    first = F.col("_upto") - F.size("_own")
+    found = F.transform("_own", lambda p, i: F.struct((first + i).cast("int").alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p, t).alias("tokens")))
+    turn = F.struct(F.col("_place").alias("place"), F.concat(F.lit(t.role), escape_role(F.col("role")), F.lit(t.text)).alias("head"),
+                    visit(F.col("parts"), first).alias("text"), (F.col("role") == "assistant").alias("loss"), found.alias("found"))
+    chats = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     spans0 = F.struct(F.lit(len(t.begin)).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def span(at: Column, x: Column) -> Column:
-        start = at["at"] + F.length(head(x))
+        start = at["at"] + F.length(x["head"])
         own = F.struct(start.alias("start"), F.length(x["text"]).alias("length"))
-        return F.struct((start + F.length(x["text"]) + len(t.end)).alias("at"),
-                        F.when(x["role"] == "assistant", F.concat(at["spans"], F.array(own))).otherwise(at["spans"]).alias("spans"))
+        return F.struct((start + F.length(x["text"]) + len(t.end)).alias("at"), F.when(x["loss"], F.concat(at["spans"], F.array(own))).otherwise(at["spans"]).alias("spans"))
 
-    parts = F.filter(F.flatten(F.transform("ms", lambda m: m["parts"])), is_attachment)
-    found = F.transform(parts, lambda p, i: F.struct(i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p, t).alias("tokens")))
-    body = F.array_join(F.transform("_turns", lambda x: F.concat(head(x), x["text"], F.lit(t.end))), "")
+    body = F.array_join(F.transform("ts", lambda x: F.concat(x["head"], x["text"], F.lit(t.end))), "")
+    found = F.flatten(F.transform("ts", lambda x: x["found"]))
     return chats.select(
         "conv_id",
         F.concat(F.lit(t.begin), body, F.lit(t.stop)).alias("formatted"),
-        F.aggregate("_turns", spans0, span, lambda x: x["spans"]).alias("loss_spans"),
+        F.aggregate("ts", spans0, span, lambda x: x["spans"]).alias("loss_spans"),
         found.alias("attachments"),
-        F.size("_turns").cast("long").alias("n_turns"),
+        F.size("ts").cast("long").alias("n_turns"),
         F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"),
     )
 
@@ -135,8 +145,8 @@ def parse_chats(formatted: DataFrame, template: Template = Template()) -> DataFr
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)  # nothing follows the last end
 
     def turn(x: Column) -> Column:
-        cut = F.instr(x, t.text) if isinstance(t.text, Column) else F.locate(t.text, x)
-        return F.struct(unescape(F.substring(x, F.lit(len(t.role) + 1), cut - 1 - len(t.role))).alias("role"),
+        cut = F.locate(t.text, x, len(t.role) + 1)
+        return F.struct(unescape_role(F.substring(x, F.lit(len(t.role) + 1), cut - 1 - len(t.role))).alias("role"),
                         unescape(F.substring(x, cut + len(t.text), F.length(x))).alias("text"))
 
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
@@ -161,6 +171,8 @@ def digest(conversations: DataFrame) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -171,12 +183,12 @@ with m as (
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e as (
   select *, regexp_replace(regexp_replace(text, '(<\\*)(/?s>|\|)', '\1\\\2', 'g'), '(\[\\*)(/?INST\])', '\1\\\2', 'g') as esc,
-    regexp_replace(regexp_replace(role, '(<\\*)(/?s>|\|)', '\1\\\2', 'g'), '(\[\\*)(/?INST\])', '\1\\\2', 'g') as esc_role from m
+    regexp_replace(regexp_replace(regexp_replace(role, '(<\\*)(/?s>|\|)', '\1\\\2', 'g'), '(\[\\*)(/?INST\])', '\1\\\2', 'g'), '(\|\\*)>', '\1\\>', 'g') as esc_role from m
 )
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(16 + length(esc_role) + length(esc)) + 7 as bigint) as formatted_chars
+  cast(sum(16 + length(esc_role) + length(esc)) + 7 as bigint) as formatted_chars, 0::bigint as n_attachments, 0::bigint as expanded_tokens
 from e group by conv_id
 """
