@@ -9,10 +9,13 @@ bits grows with the logarithm of the largest label so that a bucket of unrelated
 ``bucket`` rows at any size; the number of tables follows from bits so that a pair just at the threshold is
 missed with probability below ``miss``. A bucket larger than ``block`` is dealt into blocks by a hash of the
 id and every pair of blocks is a task's group: no group exceeds about 2 * ``block`` rows, however many rows are alike.
+Equal vectors of a label are one node from the start, with their number: copies, however many, are not compared.
+``link_vectors(exact=True)`` compares all vectors of a label instead, in the same blocks.
 
 Defined results: rows are taken by vec_id (rows that repeat an id are one vector, the smallest row of it;
 null ids are left out); a vector with a null label, or that is null, empty, zero or has a null or non-finite
-component links with nothing, nor do vectors of different length; an empty table gives no rows.
+component links with nothing, nor do vectors of different length; an empty table gives no rows. Columns beyond those named are not read,
+so extra ones may have any name.
 """
 
 from __future__ import annotations
@@ -69,36 +72,42 @@ def _links(x: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, thres
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 1024, seed: int = 7) -> DataFrame:
-    """vec_id, n_links, component_id, kept for ``vectors`` (vec_id, label, embedding)."""
+def link_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 1024, seed: int = 7, exact: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id, kept for ``vectors`` (vec_id, label, embedding).
+
+    ``exact``: no pair can be missed, because all vectors of a label are one bucket; the work then grows with its square.
+    """
     every = materialize(one_per_id(vectors.select("vec_id", "label", "embedding"), "vec_id", "label", "embedding"), "vectors")
     used = every.where(F.col("label").isNotNull() & usable())
-    largest = used.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = plan_tables(largest, threshold)
+    nodes = materialize(used.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vector-nodes")
+    copied = nodes.where("copies > 1")
+    members = materialize(used.join(copied, ["label", "embedding"]).select("vec_id", "node", "copies"), "vector-copies")
+    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits, tables = (0, 1) if exact else plan_tables(largest, threshold)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             for dim, part in by_dim(batch, 2):
                 sign = (matrix(part.column(2), dim) @ planes(dim, bits, tables, seed)) >= 0
-                own = (sign.reshape(-1, tables, bits) * powers).sum(axis=2)
-                n = len(own)
-                at = pa.array(np.repeat(np.arange(n), tables))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(np.full(n * tables, dim, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)),
-                     pa.array(own.ravel())], names=["vec_id", "label", "dim", "tab", "code"])
-
-    light = materialize(used.select("vec_id", "label", "embedding").mapInArrow(codes, f"vec_id long, label {dict(every.dtypes)['label']}, dim int, tab int, code long"), "vector-codes")
+                own = (sign.reshape(len(sign), tables, bits) * powers).sum(axis=2).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * tables), pa.array(own.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(own), dim, np.int32)), lists], names=["node", "label", "embedding", "copies", "dim", "codes"])
+
+    kinds = dict(every.dtypes)
+    coded = nodes.select("node", "label", "embedding", "copies").mapInArrow(codes, f"node long, label {kinds['label']}, embedding {kinds['embedding']}, copies long, dim int, codes array<long>")
+    coded = materialize(coded, "vector-codes")
+    light = coded.select("node", "label", "dim", F.posexplode("codes").alias("tab", "code"))
     key = ["label", "dim", "tab", "code"]
     sizes = materialize(light.groupBy(*key).count().where("count > 1"), "vector-buckets")
     m = F.ceil(F.col("count") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("vec_id"), F.col("m")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
     placed = (
         light.join(sizes, key).withColumn("m", m).withColumn("own", own).withColumn("other", other)
-        .select("vec_id", *key, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .select("node", *key, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     )
-    rows = placed.join(used.select("vec_id", "embedding"), "vec_id")
+    rows = placed.join(coded.select("node", "embedding", "codes", "copies"), "node")
     key = [*key, "lo", "hi"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,15 +118,14 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 1024,
             cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
             for c in out:
                 c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["vec_id", "links", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["node", "links", "root"])
 
-        made: dict[int, np.ndarray] = {}
         for g in groups(batches, key):
             if g.num_rows < 2:
                 continue
-            ids = g.column("vec_id").to_numpy()
+            ids = g.column("node").to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids, own_block = ids[order], g.column("own").to_numpy()[order]
+            ids, own_block, copies = ids[order], g.column("own").to_numpy()[order], g.column("copies").to_numpy()[order]
             tab, lo, hi, dim = (int(g.column(c)[0].as_py()) for c in ("tab", "lo", "hi", "dim"))
             x = matrix(g.column("embedding").combine_chunks(), dim)[order]
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -128,16 +136,13 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 1024,
             if not len(i):
                 continue
             root = local_roots(len(ids), i, j)
-            if dim not in made:
-                made[dim] = planes(dim, bits, tables, seed)
-            if tab:  # a pair counts in the first table in which its codes agree
-                sign = (x @ made[dim][:, : bits * tab]) >= 0
-                new = np.ones(len(i), bool)
-                for s in range(tab):
-                    part = (sign[:, s * bits : (s + 1) * bits] * (1 << np.arange(bits, dtype=np.int64))).sum(axis=1)
-                    new &= part[i] != part[j]
+            if tab:  # a pair counts in the first table in which its codes agree: the codes the buckets were made of
+                before = g.column("codes").combine_chunks().flatten().to_numpy().reshape(-1, tables)[order][:, :tab]
+                new = ~np.concatenate([(before[i[b : b + 65536]] == before[j[b : b + 65536]]).any(axis=1) for b in range(0, len(i), 65536)])
                 i, j = i[new], j[new]
-            links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+            links = np.zeros(len(ids), np.int64)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
             some = (links > 0) | (root != np.arange(len(ids)))
             out[0].append(ids[some])
             out[1].append(links[some])
@@ -148,12 +153,13 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 1024,
                 held = 0
         yield flush()
 
-    found = materialize(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "vec_id long, links long, root long"), "vector-links")
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    component = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    out = every.select("vec_id").join(links, "vec_id", "left").join(component.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"),
-                      (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"))
+    found = materialize(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "node long, links long, root long"), "vector-links")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    component = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    linked = materialize(links.join(component, "node", "full"), "vector-components")
+    out = every.select("vec_id").join(members, "vec_id", "left").select("vec_id", F.coalesce("node", "vec_id").alias("node"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    out = out.join(linked, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept"))
 
 
 #: all pairs by brute force; components by a recursive minimum over links

@@ -1,8 +1,8 @@
 """Shared-folder tables: the way every operator here cuts lineage.
 
 Executors may be lost at any time, so intermediate tables go, as Parquet, to the
-folder the cluster names in ``spark.checkpoint.dir``; only where that is unset
-(local tests) a temporary folder is chosen and put into the session.
+folder the cluster names in ``spark.checkpoint.dir``; where that is unset, a temporary folder is chosen
+and put into the session if driver and executors are one process (local tests), and an error is raised else.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as it is written in ``spark.checkpoint.dir``."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

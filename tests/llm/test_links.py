@@ -48,11 +48,12 @@ def vectors(seed=0):
     return out + [(9000, 1, None), (9001, 1, [0.0] * 16), (9002, 1, [float("nan")] + [1.0] * 15), (9003, None, out[0][2]), (9004, out[0][1], out[0][2][:8]), (9005, 1, [None] + [1.0] * 15), (None, 1, out[0][2]), out[3], out[3]]
 
 
-@pytest.mark.parametrize("block", [16, 1024])
-def test_vector_links(spark, block):
+@pytest.mark.parametrize(("block", "exact"), [(16, False), (1024, False), (64, True)])
+def test_vector_links(spark, block, exact):
     rows = vectors()
-    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<float>, code string")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup_vectors.link_vectors(df, block=block).collect()}
+    rows += [(4000 + i, r[1], r[2]) for i, r in enumerate(rows[300:310] * 9)]  # copies in the hot group
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<float>, codes string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup_vectors.link_vectors(df, block=block, exact=exact).collect()}
     ok = {}
     for i, label, v in rows:
         if i is not None and label is not None and v is not None and None not in v and np.isfinite(v).all() and any(v):
