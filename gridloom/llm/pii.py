@@ -6,13 +6,21 @@ Each entity gets a surrogate of its type and format (:mod:`gridloom.llm.surrogat
 mention in every document (coreference) and a different one for different entities (distinctness).
 
 1. One scan lists the distinct entities of all documents (combined before the shuffle).
-2. Surrogates are computed per entity and checked over the whole corpus: none may equal another's nor any real
-   value of its kind. Those that do get the next attempt until none does.
+2. Surrogates are computed per entity and checked over the whole corpus as they are written, given and family names of both
+   genders together: none may equal another's nor any real value of its kind. Of those that want the same the first one
+   gets it; the others, and only they, go on to their next attempt until none is left.
 3. One more scan rewrites the documents. The surrogate is a function of key, entity and attempt, so nothing has to be
    joined but the attempts above zero: a handful, broadcast if they are under ``BROADCAST_ROWS``, else joined per document.
 
+One entity: a phone number with and without its calling code or trunk zero, an address of either kind in any writing, a card or
+account number with any gaps, a name in any case with one gender. Not found: names that follow no title in their document (an
+untitled full name, a surname whose title stands in another document), numbers without the shapes below, IPv6 addresses with
+"::". Titles that tell no gender count as male unless the name also follows one that does.
+
 Surrogates may coincide with common words of the text: only detected values are compared. Defined results: null
-text stays null, empty text empty; mentions that overlap are taken by place, then length; other columns pass through.
+text stays null, empty text empty; mentions that overlap are taken by place, then length; repeated rows and rows without an id are
+rewritten each; other columns pass through whatever their names: the list of replacements is the last column, ``replaced`` or,
+where that name is taken, the first free one of ``replaced_``, ``replaced__``...; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +36,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
-from .surrogates import Keyed, luhn, refill, surrogate
+from .storage import free, materialize
+from .surrogates import Keyed, calling_code, luhn, refill, surrogate
 from .textops import slices
 
 BROADCAST_ROWS = 100_000
@@ -36,7 +45,10 @@ BROADCAST_ROWS = 100_000
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f",
           "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Srta": "f", "Signor": "m", "Signora": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
           "Dr": "", "Prof": "", "Professor": "", "Doctor": "", "Doktor": "", "Docteur": "", "Professeur": "", "Dott": "", "Dottor": "", "Доктор": "", "Профессор": "", "Δρ": "", "Καθηγητής": "m", "Καθηγήτρια": "f"}
-_NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
+#: combining marks, which belong to the letters before them
+_MARKS = "".join(re.escape(chr(c)) for c in range(0x300, 0x1100) if unicodedata.category(chr(c))[0] == "M")
+_LETTERS = rf"(?:[^\W\d_]|[{_MARKS}])+"
+_NAME = rf"[^\W\d_a-zа-яα-ω]{_LETTERS}(?:-{_LETTERS})?"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
@@ -58,21 +70,30 @@ def decimal(s: str) -> str:
     return "".join(str(unicodedata.decimal(c)) for c in s if c.isdecimal())
 
 
+def phone_parts(found: str) -> tuple[str, str, str]:
+    """(calling code, trunk zero, number) of the digits of a phone number; the first two may be empty."""
+    digits = decimal(found)
+    code = calling_code(digits) if found.startswith("+") else ""
+    rest = digits[len(code):]
+    return code, rest[:1] if rest.startswith("0") else "", rest.removeprefix("0")
+
+
 def normal(kind: str, found: str) -> str | None:
     """An entity's normal form; None: not one after all."""
     digits = decimal(found)
     if kind == "email":
         return found.lower()
     if kind == "phone":
-        code = decimal(m[1]) if (m := re.match(r"\+(\d{1,3})(?=[ .(-])", found)) else ""
-        rest = digits[len(code):]
-        return f"{code}:{rest}" if len(rest) >= 7 else None
+        rest = phone_parts(found)[2]
+        return f":{rest}" if len(rest) >= 7 else None
     if kind == "card":
         return digits if 13 <= len(digits) <= 19 and (digits[0] in "23456" or luhn(digits[:-1]) == int(digits[-1])) else None
     if kind == "ssn":
         return digits
     if kind == "ip":
         return ".".join(str(int(x)) for x in found.split("."))
+    if kind == "ip6":
+        return ":".join(f"{int(x, 16):04x}" for x in found.split(":"))
     if kind == "iban":
         s = found.replace(" ", "")
         return s if 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1 else None
@@ -82,16 +103,20 @@ def normal(kind: str, found: str) -> str | None:
 def as_found(kind: str, found: str, value: str) -> str:
     """``value`` (a surrogate's normal form) written as ``found`` is written."""
     if kind == "phone":
-        code, _, rest = value.partition(":")
-        return refill(found, code + rest)
+        code, trunk, _ = phone_parts(found)
+        return refill(found, code + trunk + value.partition(":")[2])
     if kind in ("card", "ssn"):
         return refill(found, value)
     if kind == "iban":
         it = iter(value)
         return "".join(c if c == " " else next(it) for c in found)
+    if kind == "ip6":
+        whole = any(len(x) > 1 and x[0] == "0" for x in found.split(":")) or all(len(x) == 4 for x in found.split(":"))
+        value = value if whole else ":".join(f"{int(x, 16):x}" for x in value.split(":"))
+        return value.upper() if any(c.isupper() for c in found) else value
     if kind in ("given", "family"):
         word = value.partition(":")[2]
-        return word.upper() if found.isupper() and len(found) > 1 else word[:1].upper() + word[1:]
+        return word.upper() if found.isupper() and len(found) > 1 else "-".join(x[:1].upper() + x[1:] for x in word.split("-"))
     if kind == "email" and len(found) == len(value):
         return "".join(v.upper() if c.isupper() else v for c, v in zip(found, value, strict=True))
     return value
@@ -106,14 +131,13 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             if (norm := normal(kind, text[b:e])) is not None:
                 found.append((b, -e, kind, norm))
     people: dict[str, str] = {}  # word -> kind and normal form, for mentions without a title
-    for m in _TITLED.finditer(text):
-        gender = next(filter(None, (TITLES[t.rstrip(".")] for t in m[1].split())), "m")
-        words = m[2].split(" ")
+    titled = [(next(filter(None, (TITLES[t.rstrip(".")] for t in m[1].split())), ""), m[2].split(" ")) for m in _TITLED.finditer(text)]
+    for gender, words in sorted(titled, key=lambda x: not x[0]):  # titles that tell a gender decide
         for n, w in enumerate(words):
             kind = "family" if n == len(words) - 1 else "given"
-            people.setdefault(w, f"{kind}\x1f{gender}:{w.lower()}")
+            people.setdefault(w, f"{kind}\x1f{gender or 'm'}:{w.lower()}")
     if people:
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(people, key=len, reverse=True))) + r")(?!\w)", text):
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(people, key=len, reverse=True))) + rf")(?![\w{_MARKS}])", text):
             kind, _, norm = people[m[0]].partition("\x1f")
             found.append((m.start(), -m.end(), kind, norm))
     out, last = [], 0
@@ -157,6 +181,9 @@ def find_entities(docs: DataFrame, by_doc: bool = False) -> DataFrame:
 
 def settle(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, norm, attempt) of the entities whose surrogate at attempt 0 collides. ``entities`` is a table of distinct ones."""
+    is_name = F.col("kind").isin("given", "family")
+    place = F.when(is_name, "name").otherwise(F.col("kind")).alias("place")
+    shown = lambda c: F.when(is_name, F.substring(c, 3, 1 << 30)).otherwise(F.col(c)).alias("shown")  # noqa: E731  a name is written without the gender before it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = Keyed(key)
@@ -164,33 +191,32 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
             cols = [c.to_pylist() for c in batch.columns]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(k, a, b, n) for a, b, n in zip(*cols, strict=True)], pa.string())], names=["kind", "norm", "attempt", "made"])
 
-    schema = "kind string, norm string, attempt int, made string"
-    now = materialize(entities.withColumn("attempt", F.lit(0)).mapInArrow(run, schema), "pii-surrogates")
-    real = entities.select("kind", F.col("norm").alias("made"))
+    taken = materialize(entities.select(place, shown("norm")).distinct(), "pii-real")
+    moving, raised = entities.select("kind", "norm", F.lit(0).alias("attempt")), []
     while True:
-        twice = now.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("keeps")).where("n > 1").select("kind", "made", "keeps")
-        clash = now.join(real, ["kind", "made"], "left_semi").select("kind", "norm")
-        clash = materialize(clash.unionByName(now.join(twice, ["kind", "made"]).where("norm <> keeps").select("kind", "norm")).distinct(), "pii-clashes")
-        if not clash.take(1):
-            return now.where("attempt > 0").select("kind", "norm", "attempt")
-        again = now.join(clash, ["kind", "norm"], "left_semi").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")).mapInArrow(run, schema)
-        now = materialize(now.join(clash, ["kind", "norm"], "left_anti").unionByName(again), "pii-surrogates")
+        made = materialize(moving.mapInArrow(run, "kind string, norm string, attempt int, made string").select("kind", "norm", "attempt", place, shown("made")), "pii-surrogates")
+        first = made.join(taken, ["place", "shown"], "left_anti").groupBy("place", "shown").agg(F.min(F.struct("kind", "norm", "attempt")).alias("w"))
+        won = materialize(first.select("place", "shown", "w.*"), "pii-settled")
+        raised.append(won.where("attempt > 0").select("kind", "norm", "attempt"))
+        moving = materialize(made.join(won, ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")), "pii-moving")
+        if not moving.take(1):
+            return reduce(DataFrame.unionByName, raised)
+        taken = taken.unionByName(won.select("place", "shown"))
 
 
 def pseudonymize(docs: DataFrame, key: bytes = b"gridloom") -> DataFrame:
-    """``docs`` with its ``text`` rewritten and a column ``replaced`` (array of kind, original, surrogate)."""
-    if "replaced" in docs.columns:
-        raise ValueError("the column 'replaced' is this operator's own")
+    """``docs`` with its ``text`` rewritten and, last, a column ``replaced`` (array of kind, original, surrogate)."""
+    into, hint, other = free(docs.columns, "replaced"), free(docs.columns, "_raised"), free(docs.columns, "_d")
     raised = materialize(settle(materialize(find_entities(docs), "pii-entities"), key), "pii-raised")
     few = raised.count() <= BROADCAST_ROWS
     if few:
         attempts = {(r.kind, r.norm): r.attempt for r in raised.collect()}
-        rows = docs.withColumn("_raised", F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
+        rows = docs.withColumn(hint, F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
     else:
         attempts = {}
-        own = find_entities(docs, by_doc=True).join(raised, ["kind", "norm"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("_raised"))
-        own = own.withColumnRenamed("doc_id", "_d")
-        rows = docs.join(own, docs["doc_id"].eqNullSafe(own["_d"]), "left").drop("_d")
+        own = find_entities(docs, by_doc=True).join(raised, ["kind", "norm"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias(hint))
+        own = own.withColumnRenamed("doc_id", other)
+        rows = docs.join(own, docs["doc_id"].eqNullSafe(own[other]), "left").drop(other)
     at = rows.columns.index("text")
     kinds = "array<struct<kind:string,original:string,surrogate:string>>"
     out = pa.list_(pa.struct([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))
@@ -218,7 +244,7 @@ def pseudonymize(docs: DataFrame, key: bytes = b"gridloom") -> DataFrame:
                     part = pc.replace_with_mask(part, pa.array(mask), pa.array(list(changed.values()), pa.large_string()))
                 cols = list(batch.columns)[:-1]
                 cols[at] = part.cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(done, out)], names=[*batch.schema.names[:-1], "replaced"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(done, out)], names=[*batch.schema.names[:-1], into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.select(*docs.columns, "_raised").withColumn("text", F.col("text").cast("string")).mapInArrow(run, f"{schema}, replaced {kinds}")
+    return rows.select(*[f"`{c}`" for c in docs.columns], hint).withColumn("text", F.col("text").cast("string")).mapInArrow(run, f"{schema}, `{into}` {kinds}")

@@ -49,11 +49,19 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of queries that are over: it does so when the driver collects its garbage."""
+    """Let Spark drop the shuffle files of queries that are over: it does so when the driver has collected its garbage."""
     gc.collect()
     spark._jvm.System.gc()
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, or where a column has it (in any case) the first of ``name_``, ``name__``... that none has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,8 +2,9 @@
 
 Everything is a function of (key, kind, entity, attempt). Strings with a numeric or character format go
 through a keyed permutation of exactly the strings of that format (a Feistel network with cycle walking),
-so two entities of one format never share a surrogate; check digits are computed anew. Names draw a given
-name of their gender and script and a composed family name. What is left (names, strings that differ in
+so two entities of one format never share a surrogate; check digits are computed anew. Latin, Cyrillic and Greek names
+draw a given name of their gender and script and a composed family name; names in any other script go through a
+permutation of the words of their length in letters of that script. What is left (names, strings that differ in
 check digits only, a surrogate that is someone's real value) is found by the collision check in
 :mod:`gridloom.llm.pii`, which raises ``attempt``.
 """
@@ -11,6 +12,8 @@ check digits only, a surrogate that is someone's real value) is found by the col
 from __future__ import annotations
 
 import hashlib
+import unicodedata
+from functools import cache
 
 # Given names by script and gender, syllables of family names by script.
 GIVEN = {
@@ -27,6 +30,9 @@ SYLLABLES = {
     "greek": "αλ βαν κορ δελ φεν γαρ κιν λορ μαρ νελ πεν ραν σελ τορ ζαν".split(),
 }
 FAMILY_END = {("latin", "f"): "", ("latin", "m"): "", ("cyrillic", "f"): "ова", ("cyrillic", "m"): "ов", ("greek", "f"): "ου", ("greek", "m"): "ης"}
+GIVEN_END = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("cyrillic", "m"): "ий", ("greek", "f"): "α", ("greek", "m"): "ος"}
+#: calling codes of two digits (those of one are 1 and 7, all others have three)
+CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -78,14 +84,45 @@ def luhn(digits: str) -> int:
 
 
 def script_of(word: str) -> str:
-    c = next((ord(x) for x in word if x.isalpha()), 0)
-    return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
+    """latin, cyrillic or greek, for which there are names; else the script as Unicode names its letters."""
+    c = next((x for x in word if x.isalpha()), "a")
+    return {"LATIN": "latin", "CYRILLIC": "cyrillic", "GREEK": "greek"}.get(found := unicodedata.name(c, "LATIN").split()[0], found)
+
+
+@cache
+def letters_like(c: str) -> str:
+    """The letters of the script and kind of ``c`` near it: its Unicode block, or 128 code points about it."""
+    n = ord(c)
+    low, high = (0x4E00, 0x9FA5) if 0x4E00 <= n <= 0x9FA5 else (0xAC00, 0xD7A3) if 0xAC00 <= n <= 0xD7A3 else (n & ~0x7F, n | 0x7F)
+    kind, script = unicodedata.category(c), unicodedata.name(c, "").split()[:1]
+    if high - low > 128:
+        return "".join(map(chr, range(low, high + 1)))
+    return "".join(x for x in map(chr, range(low, high + 1)) if unicodedata.category(x) == kind and unicodedata.name(x, "").split()[:1] == script)
+
+
+def letters(k: Keyed, word: str, *label: str) -> str:
+    """Letters become letters of their script; marks and hyphens stay."""
+    sets = [letters_like(c) if c.isalpha() else "" for c in word]
+    x, n = 0, 1
+    for c, s in zip(word, sets, strict=True):
+        if s:
+            x, n = x * len(s) + s.index(c), n * len(s)
+    x = k.permute(x, n, *label, "".join(s[0] if s else c for c, s in zip(word, sets, strict=True)))
+    out = []
+    for c, s in zip(reversed(word), reversed(sets), strict=True):
+        out.append(s[x % len(s)] if s else c)
+        x = x // len(s) if s else x
+    return "".join(reversed(out))
+
+
+def calling_code(digits: str) -> str:
+    return digits[:1] if digits[:1] in ("1", "7") else digits[:2] if digits[:2] in CODES else digits[:3]
 
 
 def refill(form: str, digits: str) -> str:
-    """``form`` with its digits replaced in order."""
+    """``form`` with its digits replaced in order, in the digits of their script."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in form)
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(it))) if c.isdecimal() else c for c in form)
 
 
 def _ip(k: Keyed, norm: str, attempt: str) -> str:
@@ -107,7 +144,7 @@ def surrogate(k: Keyed, kind: str, norm: str, attempt: int) -> str:
     if kind == "phone":  # country code ":" national digits
         code, _, rest = norm.partition(":")
         if rest[0] in "01":
-            return f"{code}:{k.characters(rest, 'phone', a, code)}"
+            return f"{code}:{rest[0]}{k.characters(rest[1:], 'phone', a, code, rest[0])}"
         n = 8 * 10 ** (len(rest) - 1)
         return f"{code}:{k.permute(int(rest) - 2 * 10 ** (len(rest) - 1), n, 'phone', a, code) + 2 * 10 ** (len(rest) - 1)}"
     if kind == "card":
@@ -137,11 +174,17 @@ def surrogate(k: Keyed, kind: str, norm: str, attempt: int) -> str:
             return "AKIA" + k.characters(norm[4:], "aws", a)
         return k.characters(norm, "secret", a, hexadecimal=all(c in HEX for c in norm.lower()))
     gender, _, word = norm.partition(":")  # given names and family names
-    script = script_of(word)
-    h = k.number(kind, norm, a)
+    return f"{gender}:" + "-".join(_name(k, kind, gender, part, n, attempt) for n, part in enumerate(word.split("-")))
+
+
+def _name(k: Keyed, kind: str, gender: str, word: str, place: int, attempt: int) -> str:
+    script, a = script_of(word), str(attempt)
+    if script not in SYLLABLES:
+        return letters(k, word, "name", a)
+    h = k.number(kind, gender, word, str(place), a)
     if kind == "given" and not attempt:
         names = GIVEN[script, gender]
-        return f"{gender}:{names[h % len(names)].lower()}"
-    parts = SYLLABLES[script]
-    made = "".join(parts[(h >> 8 * i) % len(parts)] for i in range(2 + min(6, attempt // 2) + h % 2))
-    return f"{gender}:{made}{FAMILY_END[script, gender] if kind == 'family' else ''}"
+        return names[h % len(names)].lower()
+    parts = SYLLABLES[script]  # longer with every attempt, so that any number of names finds room in a few
+    made = "".join(parts[(h >> 8 * i) % len(parts)] for i in range(2 + min(9, attempt) + h % 2))
+    return made + (FAMILY_END if kind == "family" else GIVEN_END)[script, gender]
