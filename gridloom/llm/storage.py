@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,14 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of queries that are over: it does so when the driver has collected its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of queries that are over: it does so when the driver has collected its garbage.
+
+    The first collection still finds the last query held by the connection to Python; the second one lets it go.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def free(columns: list[str], name: str) -> str:
