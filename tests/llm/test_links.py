@@ -129,13 +129,29 @@ def texts(seed=3):
     return [" ".join(x) for x in out] + ["", None, " \t ", "one two", "ONE\ttwo", "a b c d e", "A b c d  E", "x" * 50_000]
 
 
+def test_prefixes_lose_no_pair():
+    rng = np.random.default_rng(12)
+    heavy = rng.random(1 << 16) < 0.3
+    for percent in (80, 60):
+        for _ in range(300):
+            a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 60))).astype(np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.7, 0.9, 0.95])], rng.integers(0, 1 << 63, int(rng.integers(0, 8))).astype(np.uint64)]))
+            if not len(b):
+                continue
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                common = len(np.intersect1d(jaccard_join.prefix(a, heavy, percent), jaccard_join.prefix(b, heavy, percent)))
+                assert common >= jaccard_join.common_needed(np.array([len(a)]), np.array([len(b)]), percent)[0]
+
+
 @pytest.mark.parametrize(("longest", "block"), [(256, 512), (40, 64)])
 def test_text_links(spark, longest, block, monkeypatch):
     rows = list(enumerate(texts()))
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows] + [(None, "y", 0, "x"), (rows[0][0], rows[0][1], 0, "x")], "doc_id long, text string, n int, fp string").repartition(5)
     if longest == 40:
         monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
-    got = jaccard_join.link_documents(df, longest_list=longest, block=block).collect()
+        monkeypatch.setattr(jaccard_join, "BUNDLE", 2)
+    got = jaccard_join.link_documents(df, longest_list=longest, block=block, sketch=16 if longest == 40 else None).collect()
     sets = {i: shingles(t) for i, t in rows}
     links, items = [], list(sets.items())
     for x, (i, a) in enumerate(items):
@@ -148,7 +164,7 @@ def test_text_links(spark, longest, block, monkeypatch):
 @pytest.mark.parametrize(("sets", "longest"), [(8, 10), (12, 10), (60, 10)])
 def test_lists_of_copied_sets(sets, longest):
     rows = [(tok, fp) for tok in (3, 5) for fp in range(sets) for _ in range(50)] + [(9, 0), (9, 1)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([t for t, _ in part], [f for _, f in part], [100] * len(part), [0] * len(part))], names=["tok", "fp", "n", "plain"])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([t for t, _ in part], [f for _, f in part], [2] * len(part))], names=["tok", "fp", "n"])
                for part in (rows[i : i + 45] for i in range(0, len(rows), 45))]
     got = Counter(x for b in jaccard_join._lists(80, longest)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
     pairs, family = Counter({(a, b, 1): k for (a, b, need), k in got.items() if need}), {(a, b) for a, b, need in got if not need}
@@ -172,7 +188,7 @@ def test_links_of_sets_copied_over_partitions(spark):
     try:
         for longest in (4, 20):
             df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
-            got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(df, longest_list=longest).collect()}
+            got = {r.doc_id: r.component_id for r in jaccard_join.link_documents(df, longest_list=longest, block=5, sketch=16).collect()}
             sets = {i: shingles(t) for i, t in rows[:12]}
             links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
             root = roots(sets, links)
