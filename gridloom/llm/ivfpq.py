@@ -3,19 +3,23 @@
 Training (bounded, documented sample: the ``train_rows`` vectors with the smallest hash of their id) gives
 ``lists`` coarse centroids and, for the residuals, ``parts`` codebooks of 256 entries each. Every vector is
 then indexed: assigned to its nearest centroid and coded. A query visits the ``probes`` lists whose
-centroids have the largest inner product with it; in each, an asymmetric distance table (query part x
-codebook entry) estimates all inner products from the codes alone, the best ``rerank`` are computed exactly
-in double precision on the original vectors, and the best k go on to be merged per query.
+centroids have the largest inner product with it; there an asymmetric distance table (query part x codebook entry,
+made once per query and task) estimates all inner products from the codes alone. The best ``rerank`` of
+all lists are merged, their original vectors fetched once, and the k best by exact double precision are the answer.
 
-The index is dealt by list; a list beyond ``block`` rows is dealt into blocks by a hash of the id and each
-block meets the list's queries on its own, as queries beyond ``query_block`` are dealt. So no task holds a hot
-list or all queries of one, and a task merges what its lists gave before k rows per query leave it.
+``probes`` is a number, measured on the sample: so many lists that the share ``target`` of the sample's own exact
+neighbours lie in them. It follows how clustered the data are, not how many they are: clustered vectors need a few lists,
+isotropic ones, whose neighbours lie anywhere, nearly half.
 
-With isotropic vectors of a few dozen dimensions neighbours spread over most lists: ``probe_share`` is the share
-of lists visited, measured to give a recall above 0.9 (README); clustered data need far fewer.
+Lists that lie near each other form an area. Codes of an area meet queries by their own area (that of the nearest list),
+and only where one of these queries probes a list of the area; an area's codes are dealt into blocks of ``block``
+rows and queries of one area into blocks of ``query_block``. So no task holds a hot list or all queries of one, a query travels
+to as many areas as it probes, and original vectors travel once, for the candidates alone.
 
 Defined results: rows are taken by vec_id as in operator 1; vectors that are null, empty, zero or hold null or
-non-finite components, or are not of the commonest length, take no part; ties go to the smaller vec_id; fewer candidates than k give all.
+non-finite components, or are not of the commonest length, take no part; ties go to the smaller vec_id (equal vectors have
+equal codes, and of equal estimates the smaller ids go on); fewer candidates than k give all; an empty table gives no rows. Columns
+beyond vec_id and embedding are not read, so extra ones may have any name.
 """
 
 from __future__ import annotations
@@ -52,6 +56,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 @dataclass
 class Index:
     coarse: np.ndarray  # lists x dim
+    area: np.ndarray  # of each list
     books: np.ndarray  # parts x 256 x dim of a part (zero padded)
     probes: int
 
@@ -71,29 +76,65 @@ class Index:
         return own, codes.astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """queries x parts x 256: inner products of query parts with codebook entries."""
-        return np.einsum("qpd,pkd->qpk", self._split(q), self.books)
-
-
-def train(sample: np.ndarray, lists: int, parts: int, probe_share: float, seed: int = 5, rounds: int = 8) -> Index:
+        """parts x 256 x queries: inner products of codebook entries with query parts."""
+        return np.stack([book @ part.T for book, part in zip(self.books, self._split(q).transpose(1, 0, 2), strict=True)]).astype(np.float32)
+
+    def probed(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries x lists: inner products with the centroids, those that are visited)."""
+        own = q @ self.coarse.T
+        visited = np.zeros(own.shape, bool)
+        np.put_along_axis(visited, np.argsort(-own, axis=1, kind="stable")[:, : self.probes], True, axis=1)
+        return own, visited
+
+
+def probes_needed(sample: np.ndarray, coarse: np.ndarray, k: int, target: float, rng: np.random.Generator, queries: int = 256) -> int:
+    """The least number of lists in which the share ``target`` of the exact neighbours of some sample rows lie.
+
+    The k neighbours among all rows are fewer among a sample; the k nearest of the sample lie further away and so in more lists.
+    """
+    asked = rng.choice(len(sample), min(queries, len(sample)), replace=False)
+    own = nearest(sample, coarse)
+    score = sample[asked] @ sample.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(coarse)
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(sample[asked] @ coarse.T), axis=1, kind="stable"), axis=1, kind="stable")
+    return min(len(coarse), int(np.quantile(place[np.arange(len(asked))[:, None], own[near]], target, method="higher")) + 1)
+
+
+def train(sample: np.ndarray, lists: int, areas: int, parts: int, k: int, target: float, probes: int | None = None, seed: int = 5, rounds: int = 8, book_rows: int = 8192) -> Index:
     rng = np.random.default_rng(seed)
     coarse = kmeans(sample, lists, rounds, rng)
+    area = nearest(coarse, kmeans(coarse, areas, rounds, rng))
     residual = sample - coarse[nearest(sample, coarse)]
     width = -(-sample.shape[1] // parts)
-    wide = np.zeros((len(sample), parts * width))
-    wide[:, : sample.shape[1]] = residual
-    cut = wide.reshape(len(sample), parts, width)
+    wide = np.zeros((min(len(sample), book_rows), parts * width))
+    wide[:, : sample.shape[1]] = residual[:book_rows]
+    cut = wide.reshape(len(wide), parts, width)
     books = np.zeros((parts, 256, width))
     for p in range(parts):
         b = kmeans(cut[:, p], 256, rounds, rng)
         books[p, : len(b)] = b
-    return Index(coarse, books, max(1, math.ceil(probe_share * len(coarse))))
+    return Index(coarse, area, books, probes or probes_needed(sample, coarse, k, target, rng))
+
 
+def first_of(near: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` largest finite numbers; of equal ones the first."""
+    if n < len(near):
+        least = np.partition(near, len(near) - n)[len(near) - n]
+        over = np.flatnonzero(near > least)
+        got = np.concatenate([over, np.flatnonzero(near == least)[: n - len(over)]])
+    else:
+        got = np.arange(len(near))
+    return got[np.isfinite(near[got])]
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int | None = None, parts: int = 32, probe_share: float = 0.85,
-           rerank: int = 64, train_rows: int = 20_000, block: int = 4096, query_block: int = 1024) -> DataFrame:
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int | None = None, parts: int = 32, target: float = 0.96, probes: int | None = None,
+           rerank: int = 64, train_rows: int = 20_000, block: int = 16_384, query_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of ``vectors`` (vec_id, embedding) nearest to each of ``queries`` (query_id,
-    embedding) by inner product, a row with the query's own id excepted."""
+    embedding) by inner product, a row with the query's own id excepted. Both should be tables."""
     spark = vectors.sparkSession
     every = materialize(vectors.where(usable()).select("vec_id", "embedding"), "ann-vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -102,99 +143,110 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int | Non
         return empty
     dim, n = common
     every = every.where(F.size("embedding") == dim)
-    queries = queries.where(usable()).where(F.size("embedding") == dim)
+    queries = queries.where(usable()).where(F.size("embedding") == dim).select("query_id", "embedding")
     sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("embedding").toArrow().column(0).combine_chunks()
-    # a list holds about block / 4 rows at scale, and at least 16 lists exist
-    lists = lists or int(min(65_536, max(16, 2 ** math.ceil(math.log2(max(1, n * 4 / block))))))
-    index = train(matrix(sample, dim), min(lists, n), parts, probe_share)
+    # a list has some 200 vectors, and ten of the sample at least at scale
+    lists = min(lists or min(2048, max(16, 2 ** math.ceil(math.log2(max(1, n / 200))))), n)
+    index = train(matrix(sample, dim), lists, max(1, min(lists, math.ceil(n / block))), parts, max(k, 1), target, probes)
+    rerank = max(rerank, 2 * k)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 own, codes = index.encode(matrix(batch.column(1), dim))
                 blob = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), blob], names=["id", "embedding", "list", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.area[own].astype(np.int32)), pa.array(own.astype(np.int32)), blob], names=["id", "area", "list", "codes"])
 
-    kind = dict(every.dtypes)["embedding"]
-    placed = materialize(every.mapInArrow(place, f"id long, embedding {kind}, list int, codes binary"), "ann-lists")
-    sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))  # one row per list: at most 65,536
+    placed = materialize(every.mapInArrow(place, "id long, area int, list int, codes binary"), "ann-codes")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = np.argpartition(-(matrix(batch.column(1), dim) @ index.coarse.T), index.probes - 1, axis=1)[:, : index.probes]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), index.probes))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(near.ravel().astype(np.int32))], names=["id", "list"])
-
-    asked = queries.select(F.col("query_id").alias("id"), "embedding")
-    m = max(1, math.ceil(asked.count() * probe_share / query_block))  # query blocks of a list
-    of_query = F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    left = asked.mapInArrow(visit, "id long, list int").join(F.broadcast(sizes), "list").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(asked, "id").select("list", "b", of_query.alias("qb"), F.lit(0).alias("side"), "id", "embedding", F.lit(None).cast("binary").alias("codes"))
-    right = placed.join(F.broadcast(sizes), "list").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = right.select("list", "b", "qb", F.lit(1).alias("side"), "id", "embedding", "codes")
-    key = ["list", "b", "qb"]
+                own, visited = index.probed(matrix(batch.column(1), dim))
+                areas = [np.unique(index.area[v]).astype(np.int32).tolist() for v in visited]
+                home = index.area[own.argmax(axis=1)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home), pa.array(areas, pa.list_(pa.int32()))], names=["id", "embedding", "home", "areas"])
+
+    kind = dict(every.dtypes)["embedding"]
+    asked = materialize(queries.mapInArrow(visit, f"id long, embedding {kind}, home int, areas array<int>"), "ann-queries")
+    # one row per area, as many as lists at most
+    rows_of = placed.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    asks_of = asked.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block)).cast("int").alias("parts"))
+    asked = asked.join(F.broadcast(asks_of), "home").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sent = asked.select("id", "embedding", "home", "part", F.explode("areas").alias("area")).join(F.broadcast(rows_of), "area")
+    left = sent.select("area", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "home", "part", F.lit(0).alias("side"), "id", "embedding", F.lit(None).cast("int").alias("list"), F.lit(None).cast("binary").alias("codes"))
+    meets = materialize(sent.select("area", "home", "part").distinct(), "ann-meetings")
+    right = placed.join(F.broadcast(rows_of), "area").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(meets, "area")
+    right = right.select("area", "b", "home", "part", F.lit(1).alias("side"), "id", F.lit(None).cast(kind).alias("embedding"), "list", "codes")
+    key = ["area", "b", "home", "part"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_q, best_v, best_s, held = [], [], [], 0  # of all lists of this task: merged before anything leaves it
+        best: list[list[np.ndarray]] = [[], [], []]  # query, vector, estimate of all groups of this task: merged before anything leaves it
+        held = 0
 
         def merge() -> None:
-            nonlocal best_q, best_v, best_s, held
-            q, v, s = (np.concatenate(x) for x in (best_q, best_v, best_s))
+            nonlocal held
+            q, v, s = (np.concatenate(x) for x in best)
             order = np.lexsort((v, -s, q))
             q, v, s = q[order], v[order], s[order]
             first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-            keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
-            best_q, best_v, best_s, held = [q[keep]], [v[keep]], [s[keep]], int(keep.sum())
+            keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < rerank
+            best[:] = [[q[keep]], [v[keep]], [s[keep]]]
+            held = int(keep.sum())
 
         def flush() -> pa.RecordBatch:
-            nonlocal best_q, best_v, best_s, held
-            out = pa.RecordBatch.from_arrays([pa.array(x[0]) for x in (best_q, best_v, best_s)], names=["query_id", "vec_id", "score"])
-            best_q, best_v, best_s, held = [], [], [], 0
+            nonlocal held
+            out = pa.RecordBatch.from_arrays([pa.array(x[0]) for x in best], names=["query_id", "vec_id", "estimate"])
+            best[:], held = [[], [], []], 0
             return out
 
         for g in groups(batches, key):
-            side = g.column("side").to_numpy()
-            nq = int((side == 0).sum())  # queries come first
-            if not nq or nq == len(side):
+            nq = int((g.column("side").to_numpy() == 0).sum())  # queries come first, each side by id
+            if not nq or nq == g.num_rows:
                 continue
             ids = g.column("id").to_numpy()
-            x = matrix(g.column("embedding").combine_chunks(), dim)
-            q, v, qid, vid = x[:nq], x[nq:], ids[:nq], ids[nq:]
-            codes = np.frombuffer(b"".join(g.column("codes").slice(nq).to_pylist()), np.uint8).reshape(len(v), -1)
-            own = q @ index.coarse[int(g.column("list")[0].as_py())]
-            out_q, out_v, out_s = [], [], []
+            qid, vid = ids[:nq], ids[nq:]
+            q = matrix(g.column("embedding").slice(0, nq).combine_chunks(), dim)
+            lists_ = g.column("list").slice(nq).to_numpy()
+            codes = np.frombuffer(b"".join(g.column("codes").slice(nq).to_pylist()), np.uint8).reshape(len(vid), -1).T.copy()
             for b in range(0, nq, 64):
                 part = q[b : b + 64]
-                table = index.tables(part).astype(np.float32)
-                near = np.zeros((len(part), len(v)), np.float32) + own[b : b + 64, None].astype(np.float32)
-                for p in range(codes.shape[1]):
-                    near += table[:, p, :][:, codes[:, p]]
-                near[qid[b : b + 64, None] == vid[None, :]] = -np.inf
-                top = min(rerank, len(v))
-                best = np.argpartition(-near, top - 1, axis=1)[:, :top]
-                for i in range(len(part)):
-                    c = best[i][np.isfinite(near[i, best[i]])]
-                    exact = v[c] @ part[i]
-                    c2 = np.lexsort((vid[c], -exact))[:k]
-                    out_q.append(np.full(len(c2), qid[b + i]))
-                    out_v.append(vid[c[c2]])
-                    out_s.append(exact[c2])
-            best_q += out_q
-            best_v += out_v
-            best_s += out_s
-            held += sum(map(len, out_q))
-            if held > 500_000:
-                merge()
-                if held > 250_000:
-                    yield flush()
+                own, visited = index.probed(part)
+                seen = np.flatnonzero(visited.any(axis=0)[lists_])  # vectors in a list that one of these queries visits
+                if not len(seen):
+                    continue
+                at, table = lists_[seen], index.tables(part)
+                near = np.where(visited, own, -np.inf).T.astype(np.float32)[at]
+                for p in range(len(codes)):
+                    near += table[p][codes[p, seen]]
+                near[vid[seen][:, None] == qid[None, b : b + 64]] = -np.inf
+                for i, column in enumerate(np.ascontiguousarray(near.T)):
+                    c = first_of(column, rerank)
+                    best[0].append(np.full(len(c), qid[b + i]))
+                    best[1].append(vid[seen[c]])
+                    best[2].append(column[c])
+                    held += len(c)
+                if held > 500_000:
+                    merge()
+                    if held > 250_000:
+                        yield flush()
         if held:
             merge()
             yield flush()
 
-    near = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(meet, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    met = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "side", "id").mapInArrow(meet, "query_id long, vec_id long, estimate float")
+    w = Window.partitionBy("query_id")
+    found = met.withColumn("_n", F.row_number().over(w.orderBy(F.desc("estimate"), "vec_id"))).where(F.col("_n") <= rerank).select("query_id", "vec_id")
+    both = found.join(every, "vec_id").join(queries.withColumnRenamed("embedding", "asked"), "query_id").select("query_id", "vec_id", "embedding", "asked")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = (matrix(batch.column(2), dim) * matrix(batch.column(3), dim)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    near = both.mapInArrow(exact, "query_id long, vec_id long, score double")
+    return near.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def self_search(vectors: DataFrame, every: int = 20, **how) -> DataFrame:

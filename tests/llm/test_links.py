@@ -91,6 +91,25 @@ def test_nearest_neighbours(spark):
     assert ivfpq.self_search(df.limit(0)).count() == 0
 
 
+def test_clustered_neighbours_need_few_lists(spark):
+    rng = np.random.default_rng(18)
+    centres = rng.standard_normal((60, 16)) * 4
+    x = (centres[rng.integers(0, 60, 3000)] + rng.standard_normal((3000, 16)) * 0.3).astype(np.float32)
+    coarse = ivfpq.kmeans(x.astype(float), 64, 8, rng)
+    assert ivfpq.probes_needed(x.astype(float), coarse, 10, 0.96, rng) <= 12
+    x[1000:1100] = x[40]  # more copies than are reranked: ties go to the smaller ids
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = ivfpq.self_search(df, every=20, k=10, lists=64, block=500, query_block=40).toPandas()
+    m, hit = x.astype(float), 0
+    for q, g in out.groupby("query_id"):
+        s = m @ m[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(m)), -np.round(s, 9)))[:10]
+        hit += len(set(want.tolist()) & set(g.vec_id))
+    assert hit / (10 * out.query_id.nunique()) >= 0.95
+    assert out[out.query_id == 40].sort_values("rank").vec_id.tolist() != [] and out.query_id.nunique() == 150
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=25), min_size=1, max_size=12), st.sets(st.integers(0, 45), min_size=1, max_size=25))
 def test_prefix_tree(sets, probe):
