@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..errors import GridError, Unsupported
 from ..functions import columns as C
 from ..functions import scalar as S
-from ..operators.ordering import ROW
 from ..sheet import Book, Sheet
 from ..sources import files
 from . import values as V
@@ -392,7 +391,7 @@ class Interpreter:
 
     def compiled(self, f: Lambda, s: Sheet) -> C.Val:
         """The lambda's body over a row of ``s`` as a column."""
-        schema, row = s.df.schema, f.params[0]
+        schema, row = s.body.schema, f.params[0]
 
         def go(e: tuple) -> C.Val:
             match e:
@@ -484,7 +483,7 @@ class Interpreter:
         if f.body[0] != "object":
             raise Unsupported("a row is mapped to an object")
         made = {k: C.strict(self.compiled(Lambda(f.params, e), s)) for k, e in f.body[1]}
-        return Sheet(s.df.select(*[(made[c] if c in made else F.lit(None)).alias(c) for c in s.columns], ROW), s.name, s.named)
+        return Sheet(s.body.select(*[(made[c] if c in made else F.lit(None)).alias(c) for c in s.columns], s.order), s.name, s.named)
 
     def method(self, v: object, name: str, args: list, raw: list) -> object:
         if isinstance(v, Book):
@@ -503,8 +502,26 @@ class Interpreter:
             case "transpose":
                 return v.transpose()
             case "name_columns_by_row":
-                cells = v.rows()
-                return Sheet.of(files.from_rows(self.spark, [[None if x is None else V.text(x) for x in cells[args[0]]], *[r for i, r in enumerate(cells) if i != args[0]]]), v.name)
+                return v.name_columns_by_row(args[0])
+            case "sort":
+                names = args[0] if isinstance(args[0], list) else [args[0]]
+                return v.sort(*names, descending=bool(args[1]) if len(args) > 1 else False)
+            case "take" | "limit":
+                return v.take(args[0], args[1] if len(args) > 1 else 0)
+            case "top":
+                return v.top(args[0], *(args[1] if isinstance(args[1], list) else [args[1]]))
+            case "get_row_by_name":
+                return v.row_named(args[0], args[1])
+            case "set_row_by_name":
+                return v.set_row_named(args[0], args[1], **args[2])
+            case "row_update" | "update_row":
+                return v.update_row(args[0], *args[1])
+            case "row_insert" | "insert_row":
+                return v.insert_row(args[0], *args[1])
+            case "row_append" | "append_row":
+                return v.append_row(*args[0])
+            case "column_insert" | "insert_column":
+                return v.insert_column(args[0], args[1], F.lit(None).cast("string")).with_values(args[1], args[2]).select(*v.columns[: args[0]], args[1], *v.columns[args[0] :])
             case "select_columns":
                 return v.select(*args[0])
             case "remove_columns":
@@ -552,14 +569,14 @@ class Interpreter:
             case "evaluate_formulas":
                 return v.recalculated()
             case "rename" | "set_name":
-                return Sheet(v.df, args[0], v.named)
+                return Sheet(v.body, args[0], v.named)
         raise GridError(f"a sheet has no {name}")
 
     def book_call(self, name: str, args: list) -> object:
         if name == "from_files" or name == "from_files_with_options":
             return Book.read(self.spark, *args[0], **(args[1] if len(args) > 1 else {}))
         if name == "from_dict":
-            return Book({k: Sheet(self.sheet(x).df, k, self.sheet(x).named) for k, x in args[0].items()})
+            return Book({k: Sheet(self.sheet(x).body, k, self.sheet(x).named) for k, x in args[0].items()})
         b, rest = args[0], args[1:]
         match name:
             case "sheet_names" | "names":

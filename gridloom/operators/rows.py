@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import DuplicateColumn
-from .keys import need, text_key, text_of
+from .keys import need, text_key
 
 
 def append(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -28,12 +29,6 @@ def _first(df: DataFrame, by: list[Column], order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def typed_key(df: DataFrame, name: str) -> Column:
-    """A key in which null, 1, 1.0 and "1" differ: the column's type is one, so only null needs a mark."""
-    c = F.col(f"`{name}`")
-    return F.coalesce(F.concat(F.lit("v"), text_of(c, df.schema[name].dataType)), F.lit("n"))
-
-
 def remove_duplicates(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     """The first row, by ``order``, of each combination of ``columns`` (none: all but the order column)."""
     names = columns or [c for c in df.columns if c != order]
@@ -46,7 +41,8 @@ def upsert(target: DataFrame, source: DataFrame, key: str, target_order: str, so
 
     A source key that the target has overwrites the shared columns, null included, of the *last* target row with it; of
     several source rows with one key the last wins, and new keys are inserted once, at the place of their first row.
-    The result has the target's columns and ``target_order``; inserted rows come after all others in source order.
+    The result has the target's columns and ``target_order``; inserted rows come after all others in source order. Where the
+    orders are keys (arrays), the caller's source keys come after all target keys already.
     """
     need(target, [key])
     shared = [c for c in source.columns if c in target.columns and c not in (source_order, target_order)]
@@ -58,9 +54,12 @@ def upsert(target: DataFrame, source: DataFrame, key: str, target_order: str, so
     met = t.join(s, "__k", "left")
     hit = F.col("__m") & F.col("__slot").isNotNull()
     updated = met.select(*[F.when(hit, F.col(f"`__s_{c}`")).otherwise(F.col(f"`{c}`")).alias(c) if c in shared else F.col(f"`{c}`") for c in target.columns])
-    last = target.agg(F.max(target_order).alias("__last"))
-    new = s.join(t.select("__k"), "__k", "left_anti").crossJoin(F.broadcast(last))  # one row
-    insert = new.select(*[F.col(f"`__s_{c}`").alias(c) for c in shared], (F.coalesce("__last", F.lit(-1)) + 1 + F.col("__slot")).cast(target.schema[target_order].dataType).alias(target_order))
+    new, kind = s.join(t.select("__k"), "__k", "left_anti"), target.schema[target_order].dataType
+    place = F.col("__slot")
+    if not isinstance(kind, T.ArrayType):
+        new = new.crossJoin(F.broadcast(target.agg(F.max(target_order).alias("__last"))))  # one row
+        place = (F.coalesce("__last", F.lit(-1)) + 1 + F.col("__slot")).cast(kind)
+    insert = new.select(*[F.col(f"`__s_{c}`").alias(c) for c in shared], place.alias(target_order))
     return updated.unionByName(insert, allowMissingColumns=True)
 
 

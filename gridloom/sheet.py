@@ -1,14 +1,16 @@
 """Sheets and books: named, ordered tables over lazy DataFrames.
 
-A :class:`Sheet` is a frame and the name of its row-number column; its header is the frame's column names, never a row. Every verb
-returns a new sheet and runs nothing; only cell access, recalculation and export do. Row numbers are assigned once, from
-the input's own order, without a sort or a shuffle.
+A :class:`Sheet` is a frame with an order key per row; its header is the frame's column names, never a row. Relational verbs (choosing,
+mapping, filtering, joining, appending, merging) return a new sheet and run nothing: they filter keys or put them together. What
+speaks of row numbers (cells, ranges, ``zip``, row edits) needs contiguous ones, which are made once per sheet by writing it in
+order (:attr:`Sheet.df`); ``sort`` and ``top`` do so too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from .errors import DuplicateColumn, GridError, OutOfBounds
 from .functions import columns as C
 from .operators import joins, quality, rows
 from .operators.keys import need, text_of
-from .operators.ordering import ROW, number_rows
+from .operators.ordering import KEY, ROW, before, beside, by, keyed, number_rows
 from .plans.addresses import parse_cell, parse_range
 from .plans.grid import Grid, lift
 from .sources import files
@@ -25,7 +27,7 @@ from .sources import files
 
 @dataclass(frozen=True)
 class Sheet:
-    df: DataFrame  # with the row-number column
+    body: DataFrame  # the cells, and either row numbers (ROW) or an order key (KEY)
     name: str = "Sheet1"
     named: bool = True
 
@@ -33,7 +35,7 @@ class Sheet:
 
     @classmethod
     def of(cls, df: DataFrame, name: str = "Sheet1", named: bool = True) -> Sheet:
-        return cls(df if ROW in df.columns else number_rows(df), name, named)
+        return cls(df if ROW in df.columns or KEY in df.columns else keyed(df), name, named)
 
     @classmethod
     def from_data(cls, spark: SparkSession, data: list[list[object]], headers: bool = False, name: str = "Sheet1") -> Sheet:
@@ -49,45 +51,68 @@ class Sheet:
         return cls.of(next(iter(got.values())) if isinstance(got, dict) else got, sheet or files.stem(path))
 
     def _with(self, df: DataFrame) -> Sheet:
-        return replace(self, df=df)
+        return replace(self, body=df)
 
-    def _renumbered(self, df: DataFrame) -> Sheet:
-        """Rows were taken out or added: contiguous numbers again, in the order of the old ones."""
-        return self._with(number_rows(df.orderBy(ROW).drop(ROW)))
+    @property
+    def order(self) -> str:
+        return ROW if ROW in self.body.columns else KEY
+
+    @cached_property
+    def df(self) -> DataFrame:
+        """The rows with contiguous numbers from 0 (ROW)."""
+        return self.body if self.order == ROW else number_rows(self.ordered)
+
+    @property
+    def numbered(self) -> Sheet:
+        return self._with(self.df)
+
+    @property
+    def keyed(self) -> DataFrame:
+        """The rows with their order key (KEY)."""
+        return self.body if self.order == KEY else self.body.withColumn(KEY, F.array(F.col(ROW).cast("long"))).drop(ROW)
+
+    @property
+    def ordered(self) -> DataFrame:
+        """The cells, sorted."""
+        return self.body.orderBy(self.order).drop(self.order)
+
+    def _for(self, *parts: object) -> Sheet:
+        """With row numbers, if an expression speaks of them."""
+        return self.numbered if any(ROW in str(p) for p in parts) else self
 
     # looking at it
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.df.columns if c != ROW]
+        return [c for c in self.body.columns if c not in (ROW, KEY)]
 
     @property
     def frame(self) -> DataFrame:
         """The rows without their numbers."""
-        return self.df.drop(ROW)
+        return self.body.drop(self.order)
 
     def row_count(self) -> int:
-        return self.df.count()
+        return self.body.count()
 
     def column_count(self) -> int:
         return len(self.columns)
 
     def is_empty(self) -> bool:
-        return not self.df.take(1)
+        return not self.body.take(1)
 
     def rows(self) -> list[list[object]]:
-        return [[r[c] for c in self.columns] for r in self.df.orderBy(ROW).collect()]
+        return [[r[c] for c in self.columns] for r in self.ordered.collect()]
 
     def records(self) -> list[dict]:
-        return [{c: r[c] for c in self.columns} for r in self.df.orderBy(ROW).collect()]
+        return [{c: r[c] for c in self.columns} for r in self.ordered.collect()]
 
     def each(self) -> Iterator[dict]:
         """Rows one after the other, a partition at a time."""
-        for r in self.df.orderBy(ROW).toLocalIterator():
+        for r in self.ordered.toLocalIterator():
             yield {c: r[c] for c in self.columns}
 
     def to_pandas(self):
-        return self.df.orderBy(ROW).drop(ROW).toPandas()
+        return self.ordered.toPandas()
 
     def row(self, i: int) -> dict:
         """A row by number; negative ones count from the end."""
@@ -99,7 +124,7 @@ class Sheet:
 
     def cell(self, row: int, column: int | str) -> object:
         name = column if isinstance(column, str) else self._name(column)
-        need(self.df, [name])
+        need(self.body, [name])
         return self.row(row)[name]
 
     def _name(self, j: int) -> str:
@@ -121,22 +146,24 @@ class Sheet:
         if right >= len(self.columns):
             raise OutOfBounds(f"{address} is wider than the sheet")
         first, last = top - self.named, bottom - self.named
+        if last >= self.df.count():
+            raise OutOfBounds(f"{address} is longer than the sheet")
         out = self.df.where(F.col(ROW).between(max(first, 0), last)).select(*[f"`{c}`" for c in self.columns[left : right + 1]], (F.col(ROW) - max(first, 0)).alias(ROW))
         return self._with(out)
 
     def column(self, name: str) -> list[object]:
-        need(self.df, [name])
-        return [r[0] for r in self.df.orderBy(ROW).select(f"`{name}`").collect()]
+        need(self.body, [name])
+        return [r[0] for r in self.ordered.select(f"`{name}`").collect()]
 
     # columns
 
     def select(self, *names: str) -> Sheet:
-        need(self.df, list(names))
-        return self._with(self.df.select(*[f"`{n}`" for n in names], ROW))
+        need(self.body, list(names))
+        return self._with(self.body.select(*[f"`{n}`" for n in names], self.order))
 
     def remove(self, *names: str) -> Sheet:
-        need(self.df, list(names))
-        return self._with(self.df.drop(*names))
+        need(self.body, list(names))
+        return self._with(self.body.drop(*names))
 
     def remove_at(self, *places: int) -> Sheet:
         return self.remove(*[self._name(j) for j in places])
@@ -145,29 +172,63 @@ class Sheet:
         return self.select(*[c for j, c in enumerate(self.columns) if keep(j, c)])
 
     def rename(self, old: str, new: str) -> Sheet:
-        need(self.df, [old])
+        need(self.body, [old])
         if new in self.columns and new != old:
             raise DuplicateColumn(f"there is a column {new!r} already")
-        return self._with(self.df.withColumnRenamed(old, new))
+        return self._with(self.body.withColumnRenamed(old, new))
 
     def with_column(self, name: str, value: Column) -> Sheet:
-        return self._with(self.df.withColumn(name, value).select(*[f"`{c}`" for c in dict.fromkeys([*self.columns, name])], ROW))
+        s = self._for(value)
+        return s._with(s.body.withColumn(name, value).select(*[f"`{c}`" for c in dict.fromkeys([*self.columns, name])], s.order))
+
+    def insert_column(self, at: int, name: str, value: Column) -> Sheet:
+        """A new column before the one at ``at`` (counted from 0)."""
+        if name in self.columns:
+            raise DuplicateColumn(f"there is a column {name!r} already")
+        if not 0 <= at <= len(self.columns):
+            raise OutOfBounds(f"no column {at}")
+        return self.with_column(name, value).select(*self.columns[:at], name, *self.columns[at:])
 
     def with_formula(self, name: str, formula: str) -> Sheet:
         """A column computed by a formula over the row's columns."""
-        body = self.df.drop(ROW)
-        v = C.formula(formula, body.schema)
+        v = C.formula(formula, self.frame.schema)
         return self.with_column(name, C.shown(v))
 
     def fill_down(self, name: str, formula: str, row: int = 1) -> Sheet:
         """A formula in A1 style, as it stands in the sheet's row ``row`` (0 is the header), over every row."""
-        return Sheet(lift(self.df.select(*[f"`{c}`" for c in self.columns], ROW), name, formula, row).select(*[f"`{c}`" for c in dict.fromkeys([*self.columns, name])], ROW), self.name, self.named)
+        return self._with(lift(self.body.select(*[f"`{c}`" for c in self.columns], self.order), name, formula, row).select(*[f"`{c}`" for c in dict.fromkeys([*self.columns, name])], self.order))
+
+    def name_columns_by_row(self, at: int) -> Sheet:
+        """The cells of a row become the column names; the row goes, all others are text as sheets show it."""
+        names = [str(v) if v is not None else "" for v in self.select(*self.columns)._as_text().row(at).values()]
+        if len(set(names)) < len(names):
+            raise DuplicateColumn(f"row {at} names a column twice")
+        rest = self._as_text().remove_rows(at if at >= 0 else self.row_count() + at)
+        return replace(rest, body=rest.body.toDF(*names, rest.order), named=True)
+
+    def _as_text(self) -> Sheet:
+        return self._with(self.df.select(*[text_of(F.col(f"`{c}`"), self.body.schema[c].dataType).alias(c) for c in self.columns], ROW))
+
+    def row_named(self, column: str, name: object) -> dict:
+        """The first row whose cell in ``column`` (the column of row names) shows as ``name`` does."""
+        need(self.body, [column])
+        got = self.body.where(text_of(F.col(f"`{column}`"), self.body.schema[column].dataType) == F.lit(str(name))).orderBy(self.order).first()
+        if got is None:
+            raise OutOfBounds(f"no row {name!r}")
+        return {c: got[c] for c in self.columns}
+
+    def set_row_named(self, column: str, name: object, **cells: object) -> Sheet:
+        """Cells of every row whose cell in ``column`` shows as ``name`` does."""
+        need(self.body, [column, *cells])
+        hit = text_of(F.col(f"`{column}`"), self.body.schema[column].dataType) == F.lit(str(name))
+        kinds = {c: self.body.schema[c].dataType for c in cells}
+        return self._with(self.body.withColumns({c: F.when(hit, F.lit(v).cast(kinds[c])).otherwise(F.col(f"`{c}`")) for c, v in cells.items()}))
 
     def with_values(self, name: str, values: list[object]) -> Sheet:
         """A column of given values, one per row."""
         if len(values) != self.row_count():
             raise GridError(f"{len(values)} values for {self.row_count()} rows")
-        col = number_rows(files.from_rows(self.df.sparkSession, [[name], *[[v] for v in values]]))
+        col = number_rows(files.from_rows(self.body.sparkSession, [[name], *[[v] for v in values]]))
         rest = self.df.drop(name)
         return self._with(rest.join(col, ROW).select(*[f"`{c}`" for c in dict.fromkeys([*self.columns, name])], ROW))
 
@@ -183,102 +244,127 @@ class Sheet:
                 raise OutOfBounds(f"{at} is wider than the sheet")
             names = [c for c in self.columns[left : right + 1] if c in names]
             inside = F.col(ROW).between(top - self.named, bottom - self.named)
-        kinds = dict(self.df.dtypes)
+        kinds = dict(self.body.dtypes)
         if isinstance(op, str):
             names = [n for n in names if kinds[n] == "string"]
-        return self._with(self.df.withColumns({n: F.when(inside, f(F.col(f"`{n}`"))).otherwise(F.col(f"`{n}`")) for n in names}) if names else self.df)
+        s = self._for(inside)
+        return s._with(s.body.withColumns({n: F.when(inside, f(F.col(f"`{n}`"))).otherwise(F.col(f"`{n}`")) for n in names}) if names else s.body)
 
     # rows
 
     def where(self, condition: Column | str) -> Sheet:
-        return self._renumbered(self.df.where(condition))
+        s = self._for(condition)
+        return s._with(s._sparse(s.body.where(condition)))
+
+    def _sparse(self, df: DataFrame) -> DataFrame:
+        """Rows were taken out: their numbers are but an order now."""
+        return self._with(df).keyed
 
     def filter_rows(self, column: str, value: object) -> Sheet:
         """Rows whose cell has that type and value."""
-        need(self.df, [column])
-        kind = dict(self.df.dtypes)[column]
+        need(self.body, [column])
+        kind = dict(self.body.dtypes)[column]
         fits = {bool: {"boolean"}, int: {"bigint", "int", "smallint", "tinyint"}, float: {"double", "float"}, str: {"string"}}.get(type(value))
         if value is not None and kind not in (fits or set()):
-            return self._with(self.df.limit(0))
+            return self._with(self.body.limit(0))
         return self.where(F.col(f"`{column}`").eqNullSafe(F.lit(value)))
 
     def remove_rows(self, *numbers: int) -> Sheet:
         return self.where(~F.col(ROW).isin(*numbers))
 
     def remove_empty_rows(self) -> Sheet:
-        return self._renumbered(rows.remove_empty_rows(self.df, ROW))
+        return self._with(self._sparse(rows.remove_empty_rows(self.body, self.order)))
+
+    def sort(self, *names: str, descending: bool | tuple[bool, ...] = False) -> Sheet:
+        """By columns (nulls last, descending first); rows alike keep their order."""
+        need(self.body, list(names))
+        down = descending if isinstance(descending, tuple) else (descending,) * len(names)
+        return self._with(number_rows(self.body.orderBy(*[by(n, d) for n, d in zip(names, down, strict=True)], self.order).drop(self.order)))
+
+    def take(self, n: int, offset: int = 0) -> Sheet:
+        """The first rows."""
+        out = self.body.orderBy(self.order)
+        return self._with(self._sparse((out.offset(offset) if offset else out).limit(n)))
+
+    def top(self, n: int, *names: str, descending: bool = True) -> Sheet:
+        """The first ``n`` rows of ``sort``, without sorting the rest."""
+        need(self.body, list(names))
+        return self._with(number_rows(self.body.orderBy(*[by(x, descending) for x in names], self.order).limit(n).drop(self.order)))
+
+    def update_row(self, at: int, *values: object) -> Sheet:
+        self.row(at)
+        one, n = self._one(values).body.first(), at if at >= 0 else self.row_count() + at
+        return self._with(self.df.withColumns({c: F.when(F.col(ROW) == n, F.lit(one[c]).cast(self.body.schema[c].dataType)).otherwise(F.col(f"`{c}`")) for c in self.columns}))
 
     def append_row(self, *values: object) -> Sheet:
         return self.append(self._one(values))
 
     def insert_row(self, at: int, *values: object) -> Sheet:
-        one = self._one(values).df.withColumn(ROW, F.lit(at).cast("bigint"))
+        if not 0 <= at <= self.row_count():
+            raise OutOfBounds(f"no row {at}")
+        one = self._one(values).body.withColumn(ROW, F.lit(at).cast("bigint"))
         moved = self.df.withColumn(ROW, F.when(F.col(ROW) >= at, F.col(ROW) + 1).otherwise(F.col(ROW)))
         return self._with(moved.unionByName(one))
 
     def _one(self, values) -> Sheet:
         if len(values) != len(self.columns):
             raise GridError(f"{len(values)} cells for {len(self.columns)} columns")
-        return Sheet(self.df.sparkSession.createDataFrame([(*values, 0)], self.df.select(*[f"`{c}`" for c in self.columns], F.col(ROW).cast("bigint").alias(ROW)).schema), self.name)
+        return Sheet(self.body.sparkSession.createDataFrame([(*values, 0)], self.frame.select(*[f"`{c}`" for c in self.columns], F.lit(0).cast("bigint").alias(ROW)).schema), self.name, self.named)
 
     def set(self, address: str, value: object) -> Sheet:
         c = parse_cell(address)
         return self.set_at(c.row - self.named, self._name(c.col), value)
 
     def set_at(self, row: int, column: str, value: object) -> Sheet:
-        need(self.df, [column])
-        kind = self.df.schema[column].dataType
+        need(self.body, [column])
+        kind = self.body.schema[column].dataType
         return self._with(self.df.withColumn(column, F.when(F.col(ROW) == row, F.lit(value).cast(kind)).otherwise(F.col(f"`{column}`"))))
 
     # whole sheets
 
     def join(self, other: Sheet, on: str | tuple[str, str], how: str = "inner", keys: str = "text") -> Sheet:
         """Rows in the left's order, for each the right's; then the right's unmatched ones."""
-        left, right = self.df.withColumnRenamed(ROW, "__l"), other.df.withColumnRenamed(ROW, "__r")
+        left, right = self.keyed.withColumnRenamed(KEY, "__l"), other.keyed.withColumnRenamed(KEY, "__r")
         out = joins.join(left, right, on, how, keys)
-        return Sheet(number_rows(out.orderBy(F.col("__l").asc_nulls_last(), F.col("__r").asc_nulls_last()).drop("__l", "__r")), self.name)
+        return Sheet(out.withColumn(KEY, beside("__l", "__r")).drop("__l", "__r"), self.name)
 
     def append(self, other: Sheet) -> Sheet:
         if not self.columns:
             return other
-        body = other.frame if self.named else other.frame.toDF(*self.columns)
-        last = self.df.agg(F.coalesce(F.max(ROW), F.lit(-1)).alias("__n"))
-        low = number_rows(body).crossJoin(F.broadcast(last)).withColumn(ROW, F.col(ROW) + F.col("__n") + 1).drop("__n")  # one row
-        return self._with(rows.append(self.df, low))
+        low = other.keyed if self.named else other.keyed.select(*[f"`{c}`" for c in other.columns], KEY).toDF(*self.columns, KEY)
+        return self._with(rows.append(self.keyed.withColumn(KEY, before(True)), low.withColumn(KEY, before(False))))
 
     def append_distinct(self, other: Sheet, key: str) -> Sheet:
-        new = rows.append_distinct(self.df.limit(0), other.df, key, ROW).select(ROW).withColumnRenamed(ROW, "__keep")
-        fresh = other.df.join(new, other.df[ROW] == new["__keep"], "left_semi").withColumn("__k", text_of(F.col(f"`{key}`"), other.df.schema[key].dataType))
-        have = self.df.select(F.coalesce(text_of(F.col(f"`{key}`"), self.df.schema[key].dataType), F.lit("")).alias("__h"))
-        fresh = fresh.join(have, F.coalesce(F.col("__k"), F.lit("")) == have["__h"], "left_anti").drop("__k")
-        return self.append(other._renumbered(fresh))
+        return self._with(rows.append_distinct(self.keyed.withColumn(KEY, before(True)), other.keyed.withColumn(KEY, before(False)), key, KEY))
 
     def upsert(self, other: Sheet, key: str) -> Sheet:
-        return self._renumbered(rows.upsert(self.df, other.df.withColumnRenamed(ROW, "__s"), key, ROW, "__s"))
+        source = other.keyed.withColumn(KEY, before(False)).withColumnRenamed(KEY, "__s")
+        return self._with(rows.upsert(self.keyed.withColumn(KEY, before(True)), source, key, KEY, "__s"))
 
     def zip(self, other: Sheet) -> Sheet:
         if self.row_count() != other.row_count():
             raise GridError("sheets of different heights can't stand side by side")
-        return self._with(joins.zip_columns(self.df, other.df, ROW, ROW).select(*[f"`{c}`" for c in joins.zip_columns(self.df, other.df, ROW, ROW).columns if c != ROW], ROW))
+        out = joins.zip_columns(self.df, other.df, ROW, ROW)
+        return self._with(out.select(*[f"`{c}`" for c in out.columns if c != ROW], ROW))
 
     def transpose(self, most: int = 10_000) -> Sheet:
         """Rows to columns ``column_0``..., cells as text where types differ."""
         n = self.row_count()
         if n > most:
             raise GridError(f"{n} rows would become columns; the limit is {most}")
-        kinds = {self.df.schema[c].dataType for c in self.columns}
-        cell = (lambda c: F.col(f"`{c}`")) if len(kinds) == 1 else (lambda c: text_of(F.col(f"`{c}`"), self.df.schema[c].dataType))
+        kinds = {self.body.schema[c].dataType for c in self.columns}
+        cell = (lambda c: F.col(f"`{c}`")) if len(kinds) == 1 else (lambda c: text_of(F.col(f"`{c}`"), self.body.schema[c].dataType))
         long = self.df.select(ROW, F.posexplode(F.array(*[cell(c) for c in self.columns])).alias("__c", "__v"))
         wide = long.groupBy("__c").pivot(ROW, list(range(n))).agg(F.first("__v"))
-        return replace(self, df=wide.select(*[F.col(f"`{i}`").alias(f"column_{i}") for i in range(n)], F.col("__c").cast("bigint").alias(ROW)), named=False)
+        return replace(self, body=wide.select(*[F.col(f"`{i}`").alias(f"column_{i}") for i in range(n)], F.col("__c").cast("bigint").alias(ROW)), named=False)
 
     def remove_duplicates(self, *columns: str) -> Sheet:
-        return self._renumbered(rows.remove_duplicates(self.df, list(columns), ROW))
+        return self._with(self._sparse(rows.remove_duplicates(self.body, list(columns), self.order)))
 
     def clean(self, *ops: str, fill: object = None, at: str | None = None) -> Sheet:
         how = quality.Cleaning.of(*ops, fill=fill)
         if at is None:
-            return self._with(quality.clean(self.df, how, self.columns))
+            return self._with(quality.clean(self.body, how, self.columns))
         top, left, bottom, right = parse_range(at).box()
         return self._with(quality.clean(self.df, how, self.columns[left : right + 1], F.col(ROW).between(top - self.named, bottom - self.named)))
 
@@ -301,10 +387,10 @@ class Sheet:
     def aggregate(self, name: str, address: str | None = None) -> float | int | None:
         """SUM, AVERAGE, MIN, MAX or COUNT over the numbers of a range (the whole sheet): one pass, no cells on the driver."""
         s = self if address is None else self.range(address)
-        kinds = dict(s.df.dtypes)
+        kinds = dict(s.body.dtypes)
         nums = [c for c in s.columns if kinds[c] in ("double", "float", "bigint", "int", "smallint", "tinyint") or kinds[c].startswith("decimal")]
         parts = [F.struct(F.sum(F.col(f"`{c}`").cast("double")), F.count(f"`{c}`"), F.min(F.col(f"`{c}`").cast("double")), F.max(F.col(f"`{c}`").cast("double"))) for c in nums]
-        got = [tuple(x) for x in s.df.agg(*parts).first()] if nums else []
+        got = [tuple(x) for x in s.body.agg(*parts).first()] if nums else []
         total, n = sum(g[0] or 0.0 for g in got), sum(g[1] for g in got)
         match name.upper():
             case "SUM":
@@ -323,17 +409,17 @@ class Sheet:
         """Formula cells (text that begins with =) replaced by their values. For sheets that fit on the driver."""
         g = Grid({self.name: self.cells()})
         g.recalculate()
-        return Sheet.of(files.from_rows(self.df.sparkSession, g.values(self.name), self.named), self.name, self.named)
+        return Sheet.of(files.from_rows(self.body.sparkSession, g.values(self.name), self.named), self.name, self.named)
 
     def query(self, sql: str, view: str = "sheet") -> DataFrame:
         self.frame.createOrReplaceTempView(view)
-        return self.df.sparkSession.sql(sql)
+        return self.body.sparkSession.sql(sql)
 
     def write(self, path: str, mode: str = "overwrite", key: str | None = None) -> None:
-        files.write(self.df.orderBy(ROW), path, mode, key, ROW)
+        files.write(self.ordered, path, mode, key)
 
     def to_json(self, pretty: bool = False) -> str:
-        return files.json_text(self.df.orderBy(ROW).drop(ROW), pretty)
+        return files.json_text(self.ordered, pretty)
 
 
 @dataclass
@@ -403,10 +489,10 @@ class Book:
     def consolidate(self, source_column: str | None = None) -> Sheet:
         if any(not s.named for s in self.sheets.values()):
             raise GridError("only sheets with column names can be consolidated")
-        return Sheet.of(rows.consolidate({n: s.df.orderBy(ROW).drop(ROW) for n, s in self.sheets.items()}, source_column), "consolidated")
+        return Sheet.of(rows.consolidate({n: s.ordered for n, s in self.sheets.items()}, source_column), "consolidated")
 
     def write(self, path: str) -> None:
-        spark = self.get(0).df.sparkSession
+        spark = self.get(0).body.sparkSession
         from .sources.xlsx import write_book
 
         files.put_bytes(spark, path, write_book({n: s.cells() for n, s in self.sheets.items()}))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.errors import ColumnMissing, DuplicateColumn, GridError
 from gridloom.operators import joins, lookup, quality, rows
 from gridloom.operators.ordering import number_rows
+from gridloom.sheet import Sheet
 
 
 def got(df):
@@ -148,3 +149,52 @@ def test_row_numbers_are_contiguous_and_in_order(spark):
     df = number_rows(spark.range(1000).repartition(5).sortWithinPartitions("id"))
     assert sorted(r["__row"] for r in df.collect()) == list(range(1000))
     assert number_rows(spark.range(0)).count() == 0
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_sheet_order_survives_shuffles(spark, adaptive):
+    """Wide rows over many partitions: every verb, then a chain; how many rows, which numbers, in which order."""
+    n = 40_000
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        pad = F.rpad(F.col("id").cast("string"), 120, "x")
+        left = Sheet.of(spark.range(0, n, 1, 7).select("id", pad.alias("pad")))
+        right = Sheet.of(spark.range(0, n, 1, 5).select((F.lit(n - 1) - F.col("id")).alias("id"), (F.col("id") * 2).alias("v")))
+        odd, even = left.where("id % 2 = 1"), left.where("id % 2 = 0")
+
+        def numbered(s, want):
+            got = s.df.select("__row", "id").orderBy("__row").collect()
+            assert [r[0] for r in got] == list(range(len(want)))
+            assert [r[1] for r in got] == want
+
+        numbered(left.join(right, "id", "left"), list(range(n)))
+        numbered(right.join(left, "id"), list(range(n - 1, -1, -1)))
+        numbered(odd.join(left, "id", "right"), [*range(1, n, 2), *range(0, n, 2)])
+        numbered(odd, list(range(1, n, 2)))
+        numbered(even.append(odd), [*range(0, n, 2), *range(1, n, 2)])
+        numbered(even.append(odd).append(even).remove_duplicates("id"), [*range(0, n, 2), *range(1, n, 2)])
+        numbered(odd.upsert(left, "id"), [*range(1, n, 2), *range(0, n, 2)])
+        numbered(odd.append_distinct(left, "id"), [*range(1, n, 2), *range(0, n, 2)])
+        chain = even.append(odd).where("id % 3 = 0").join(right, "id", "left").remove_duplicates("id").where("id > 9")
+        numbered(chain, [*[i for i in range(0, n, 6) if i > 9], *[i for i in range(3, n, 6) if i > 9]])
+        assert chain.row(0)["id"] == 12 and chain.a1("A2") == 12 and chain.row(-1)["id"] == max(range(3, n, 6))
+        numbered(left.sort("pad", descending=True).take(3), sorted(range(n), key=lambda i: str(i).ljust(120, "x"), reverse=True)[:3])
+        numbered(right.top(4, "v"), [0, 1, 2, 3])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_row_and_column_edits(spark):
+    s = Sheet.from_data(spark, [["name", "n"], ["a", 1], ["b", 2], ["c", 3]], headers=True)
+    assert s.update_row(1, "x", 9).rows() == [["a", 1], ["x", 9], ["c", 3]]
+    assert s.update_row(-1, "x", 9).rows() == [["a", 1], ["b", 2], ["x", 9]]
+    assert s.insert_row(1, "x", 9).rows() == [["a", 1], ["x", 9], ["b", 2], ["c", 3]]
+    assert s.insert_column(1, "two", F.col("n") * 2).rows() == [["a", 2, 1], ["b", 4, 2], ["c", 6, 3]]
+    assert s.row_named("name", "b") == {"name": "b", "n": 2} and s.set_row_named("name", "b", n=7).column("n") == [1, 7, 3]
+    assert s.name_columns_by_row(1).columns == ["b", "2"] and s.name_columns_by_row(1).rows() == [["a", "1"], ["c", "3"]]
+    assert s.sort("n", descending=True).column("n") == [3, 2, 1] and s.top(2, "n").column("n") == [3, 2] and s.take(1, 1).rows() == [["b", 2]]
+    for wrong in (lambda: s.update_row(3, "x", 1), lambda: s.insert_row(5, "x", 1), lambda: s.insert_column(9, "z", F.lit(1)), lambda: s.row_named("name", "q"), lambda: s.a1("A1:B9")):
+        with pytest.raises(GridError):
+            wrong()
