@@ -5,15 +5,16 @@ that are marked good. A document's log importance weight is the sum over its n-g
 and their pairs) of log p_target / p_raw. Gumbel noise from a hash of the id is added and the k largest are kept:
 that is sampling without replacement in proportion to the weights.
 
-k is given, or calibrated: the cut on perturbed weights that best separates the sample's good from its bad rows,
-and k is the number of all documents above it.
+k is given, or calibrated: the cut on perturbed weights that best separates the sample's good from its bad rows
+is carried over to the corpus as a number of rows, those above it, and ``top_k`` keeps that many.
 
-Only the labelled sample is bounded (``sample`` rows, those with the smallest hash of the id); both bags hold
-``buckets`` numbers however large the corpus is, and each task sends one pair of them.
+Only the labelled sample is bounded (``sample`` documents, those with the smallest hash of the id); both bags hold
+``BUCKETS`` numbers however large the corpus is; each task sends them once, in ``PARTS`` parts that are summed apart.
 
 Defined results: null or empty text has weight 0; a null doc_id draws the noise of an empty id; rows that share an id share
 its noise; labels that repeat an id count as good if one of them is; labels that are null are not used; without good labels
-all weights are 0, without both kinds of labels a calibrated cut keeps everything; an empty table gives no rows.
+all weights are 0, without both kinds of labels a calibrated cut keeps everything; an empty table gives no rows. Kept columns pass
+through whatever their names: the operator's own come last and get underscores where a column has their name.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import uniform
-from .select import take_budget
+from .select import kth_smallest
+from .storage import free, materialize
 from .textops import as_strings, ngrams, slices, words
 
-BUCKETS = 1 << 16
+BUCKETS, PARTS = 1 << 16, 32
 
 
 def features(texts: pa.Array, orders: tuple[int, ...] = (1, 2)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -67,30 +69,35 @@ def fit(docs: DataFrame, labelled: dict[int, int], orders: tuple[int, ...] = (1,
                     bags[0] += np.bincount(bucket, minlength=BUCKETS)
                     if is_good[i:j].any():
                         bags[1] += np.bincount(bucket[np.repeat(is_good[i:j], c)], minlength=BUCKETS)
-        if bags.any():
-            yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([b.tobytes() for b in bags], pa.binary())], names=["bag", "counts"])
+        for bag, whole in enumerate(bags):
+            for part, x in enumerate(np.split(whole, PARTS)):
+                if x.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([bag], pa.int32()), pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for bag, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[bag] = sums.get(bag, 0) + np.frombuffer(blob, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["bag", "counts"])
-
-    schema = "bag int, counts binary"
-    bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, schema)
-    some = bags.repartition(8).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema).collect()  # two rows
-    sums = {r.bag: np.frombuffer(bytes(r.counts), np.int64).astype(float) for r in some}
-    if 1 not in sums or not sums[1].any():
+            for bag, part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[bag, part] = sums.get((bag, part), 0) + np.frombuffer(blob, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sums], pa.int32()), pa.array([p for _, p in sums], pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=names)
+
+    schema, names = "bag int, part int, counts binary", ["bag", "part", "counts"]
+    bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
+    sums = {b: np.zeros(BUCKETS) for b in (0, 1)}
+    for r in bags.repartition(2 * PARTS, "bag", "part").mapInArrow(add, schema).collect():  # a row per bag and part
+        sums[r.bag][r.part * BUCKETS // PARTS : (r.part + 1) * BUCKETS // PARTS] = np.frombuffer(bytes(r.counts), np.int64)
+    if not sums[1].any():
         return np.zeros(BUCKETS)
     raw = (sums[0] + 1) / (sums[0].sum() + BUCKETS)
     return np.log((sums[1] + smooth) / (sums[1].sum() * raw + smooth))
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, orders: tuple[int, ...] = (1, 2), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``log_weight`` and ``n_grams``."""
+    """The columns ``keep`` of ``docs``, then ``log_weight`` and ``n_grams``."""
     columns = list(dict.fromkeys([*keep, "text"]))
     at = columns.index("text")
+    names = [*keep, free(list(keep), "log_weight"), free(list(keep), "n_grams")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,24 +110,27 @@ def weigh(docs: DataFrame, ratios: np.ndarray, orders: tuple[int, ...] = (1, 2),
                     total += upto[ends] - upto[ends - c]
                     n += c
                 own = [batch.column(columns.index(k)).slice(i, j - i) for k in keep]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(total), pa.array(n)], names=[*keep, "log_weight", "n_grams"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(total), pa.array(n)], names=names)
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep)
-    return docs.select(*columns).mapInArrow(run, f"{schema}, log_weight double, n_grams long")
+    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(run, f"{schema}{', ' if keep else ''}`{names[-2]}` double, `{names[-1]}` long")
 
 
-def perturbed(seed: str) -> Column:
-    """log_weight plus Gumbel noise, rounded so that its last bits don't depend on how rows were batched."""
-    return F.round(F.col("log_weight"), 6) - F.log(-F.log(uniform(F.col("doc_id"), seed)))
+def perturbed(seed: str, weight: str = "log_weight") -> Column:
+    """The log weight plus Gumbel noise, rounded so that its last bits don't depend on how rows were batched."""
+    return F.round(F.col(f"`{weight}`"), 6) - F.log(-F.log(uniform(F.col("doc_id"), seed)))
 
 
 def calibrate(docs: DataFrame, labelled: dict[int, int], ratios: np.ndarray, seed: str, orders: tuple[int, ...] = (1, 2)) -> float:
-    """The cut on perturbed weights with the most good rows kept and bad rows dropped, each kind weighing one half."""
+    """The cut on perturbed weights with the most good rows kept and bad rows dropped, each kind weighing one half.
+
+    Of rows that share a labelled id the largest weight counts, so that no more numbers than labels reach the driver.
+    """
     if len(set(labelled.values())) < 2:
         return -math.inf
     ids = docs.sparkSession.createDataFrame([(d,) for d in labelled], "doc_id long")
-    rows = weigh(docs.join(F.broadcast(ids), "doc_id", "left_semi"), ratios, orders).select("doc_id", perturbed(seed).alias("w")).collect()
+    rows = weigh(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"), ratios, orders).groupBy("doc_id").agg(F.max(perturbed(seed)).alias("w")).collect()
     w = np.array([r.w for r in rows])
     good = np.array([labelled[r.doc_id] == 1 for r in rows], bool)
     if not good.any() or good.all():
@@ -135,22 +145,30 @@ def calibrate(docs: DataFrame, labelled: dict[int, int], ratios: np.ndarray, see
     return float(low + (high - low) * 0.25)
 
 
-def top_k(scored: DataFrame, k: int, seed: str) -> DataFrame:
-    """``scored`` with ``kept``: the ``k`` rows with the largest perturbed weights, ties by doc_id."""
-    one = scored.withColumn("_w", perturbed(seed)).withColumn("_all", F.lit(0))
-    low, high = one.agg(F.min("_w"), F.max("_w")).first()
-    if low is None:
-        return one.withColumn("kept", F.lit(False)).drop("_w", "_all")
-    bins = 1 << 14
-    bin_ = F.least(F.floor((F.lit(high) - F.col("_w")) / F.lit(max(high - low, 1e-9)) * bins), F.lit(bins - 1)).cast("int")
-    budget = scored.sparkSession.createDataFrame([(0, float(k))], "_all int, budget double")
-    out = take_budget(one, budget, "_all", bin_, [F.desc("_w"), F.col("doc_id")], F.lit(1), nearest=False)
-    return out.withColumn("kept", F.col("_taken")).drop("_w", "_all", "_taken")
+def top_k(scored: DataFrame, k: int, seed: str, weight: str = "log_weight") -> DataFrame:
+    """``scored`` (a table) and, last, ``kept``: the ``k`` rows with the largest perturbed weights.
+
+    Rows that share the weight of the last place (they share an id) are taken in the table's order.
+    """
+    kept, w = free(scored.columns, "kept"), perturbed(seed, weight)
+    n = scored.count()
+    if not 0 < k < n:
+        return scored.withColumn(kept, F.lit(k > 0))
+    at, some = kth_smallest(scored, -w, k)
+    if some is None:
+        return scored.withColumn(kept, -w <= F.lit(at))
+    place = F.monotonically_increasing_id()
+    placed = scored.withColumn(own := free(scored.columns, "_place"), place)
+    last, _ = kth_smallest(placed.where(-w == F.lit(at)), F.col(own), some)
+    return placed.withColumn(kept, (-w < F.lit(at)) | ((-w == F.lit(at)) & (F.col(own) <= F.lit(last)))).drop(own)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, seed: str = "dsir", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with ``log_weight``, ``n_grams`` and ``kept``; the cut is calibrated, so k follows from it."""
+    """The columns ``keep`` (doc_id among them) of ``docs``, then ``log_weight``, ``n_grams`` and ``kept``: the top k for the k
+    that the calibrated cut gives. The scored rows are written once, since k is known only when all are scored."""
     labelled = label_sample(labels, sample)
     ratios = fit(docs, labelled)
     cut = calibrate(docs, labelled, ratios, seed)
-    return weigh(docs, ratios, keep=keep).withColumn("kept", perturbed(seed) >= F.lit(cut))
+    scored = materialize(weigh(docs, ratios, keep=keep), "importance-scores")
+    weight = scored.columns[-2]
+    return top_k(scored, scored.where(perturbed(seed, weight) >= F.lit(cut)).count(), seed, weight)

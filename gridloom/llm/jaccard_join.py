@@ -36,8 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .neardup_vectors import local_roots
+from .components import connected_components, local_roots
 from .prefixtree import PrefixTree, needed
 from .storage import discard, materialize, release
 from .textops import as_strings, mix, shingle_sets, slices
@@ -318,7 +317,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def link_documents(docs: DataFrame, percent: int = 80, size: int = 5, longest_list: int = 256, block: int = 512, sketch: int | None = None) -> DataFrame:
+def link_documents(docs: DataFrame, percent: int = 80, size: int = 5, longest_list: int = 256, block: int = 128, sketch: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     ``longest_list``: token lists beyond it (and beyond the sketch's limit) give families; ``block``: members of a family in a

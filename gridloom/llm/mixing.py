@@ -10,7 +10,8 @@ A whole document is taken or left; the last one is taken if that comes nearer to
 
 Defined results: null source is a source, the last; null text has no words; quality null or not positive is 1;
 documents without words are never drawn; repeated rows are drawn together as often as they occur;
-no documents give no rows. Runs with one seed agree.
+no documents give no rows. Runs with one seed agree. Columns beyond doc_id, text and source are not read; ``mix`` passes them
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .select import take_budget
-from .storage import materialize
+from .storage import free, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BINS = 4096
@@ -91,9 +92,10 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = "mix", **h
     Rows with equal doc_id, source and number of words are taken alike.
     """
     drawn = draw(sized_table(docs, labels), seed, F.col("quality_weight"), **how).where("epochs > 0")
-    per = drawn.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.max("epochs").alias("_epochs"))
-    key = docs["doc_id"].eqNullSafe(per["_d"]) & docs["source"].eqNullSafe(per["_s"]) & (n_words(docs["text"]) == per["_n"])
-    return docs.join(per, key).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs").cast("int")))).select(*docs.columns)
+    own = {c: free(docs.columns, c) for c in ("_d", "_s", "_n", "_epochs", "_copy")}
+    per = drawn.groupBy(F.col("doc_id").alias(own["_d"]), F.col("source").alias(own["_s"]), F.col("size").alias(own["_n"])).agg(F.max("epochs").cast("int").alias(own["_epochs"]))
+    key = docs["doc_id"].eqNullSafe(per[own["_d"]]) & docs["source"].eqNullSafe(per[own["_s"]]) & (n_words(docs["text"]) == per[own["_n"]])
+    return docs.join(per, key).withColumn(own["_copy"], F.explode(F.sequence(F.lit(1), F.col(own["_epochs"])))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import ivfpq, jaccard_join, neardup_vectors
+from gridloom.llm import components, ivfpq, jaccard_join, neardup_vectors
 from gridloom.llm.components import connected_components
 from gridloom.llm.prefixtree import PrefixTree
 
@@ -28,7 +28,9 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 100, 300_000])
+def test_components(spark, one_task, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, k) for k in range(5001, 5050)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -170,6 +172,7 @@ def test_text_links(spark, longest, block, monkeypatch):
     if longest == 40:
         monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(jaccard_join, "BUNDLE", 2)
+        monkeypatch.setattr(components, "ONE_TASK", 0)
     got = jaccard_join.link_documents(df, longest_list=longest, block=block, sketch=16 if longest == 40 else None).collect()
     sets = {i: shingles(t) for i, t in rows}
     links, items = [], list(sets.items())

@@ -156,6 +156,51 @@ def test_top_k_is_the_largest(spark):
     assert importance.top_k(df.limit(0), 3, "s").count() == 0
 
 
+def test_top_k_of_rows_that_share_an_id(spark, tmp_path):
+    spark.createDataFrame([(1, 1.0, i) for i in range(50)] + [(2, 9.0, 50), (3, -9.0, 51)], "doc_id long, log_weight double, kept int").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for k in (0, 1, 20, 51, 52, 99):
+        out = importance.top_k(df, k, "s")
+        assert out.columns == [*df.columns, "kept_"] and out.where("kept_").count() == min(k, 52)
+
+
+def test_weights_and_kept_rows_against_brute_force(spark):
+    import pyarrow as pa
+
+    from gridloom.llm.textops import as_strings, ngrams, words
+
+    rng = random.Random(3)
+    say = lambda good: " ".join(rng.choice(["The", "cat", "sat.", "mat,"] if good else ["buy", "NOW!!", "cheap", "cat"]) for _ in range(rng.randrange(0, 30)))
+    rows = [(i, say(i % 3 > 0), i % 3 > 0) for i in range(300)] + [(None, "cat cat", True), (7, "again the cat", True), (400, None, True)]
+    labelled = {i: int(g) for i, _, g in rows if i is not None and i < 150}
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t, _ in rows], "doc_id long, text string, n_grams int, Log_weight string").repartition(4)
+    labels = spark.createDataFrame(list(labelled.items()), "doc_id long, quality int")
+
+    def bucket(*tokens):
+        if len(tokens) == 2 and tokens[0] == tokens[1]:
+            return 0
+        h = np.concatenate([words(as_strings(pa.array([x])), punctuation=True)[0] for x in tokens])
+        g, _ = ngrams(h, np.array([len(h)]), len(h))
+        return int((g[0] + np.uint64(len(tokens))) >> np.uint64(48))
+
+    def features(t):
+        w = re.findall(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+", (t or "").lower())
+        return [bucket(x) for x in w] + [bucket(x, y) for x, y in zip(w, w[1:], strict=False)]
+
+    own = [features(t) for _, t, _ in rows]
+    raw, good = Counter(b for f in own for b in f), Counter(b for (i, _, _), f in zip(rows, own, strict=True) if labelled.get(i) == 1 for b in f)
+    n, m, size = sum(raw.values()), sum(good.values()), importance.BUCKETS
+    ratio = lambda b: math.log((good[b] + 100.0) / (m * (raw[b] + 1) / (n + size) + 100.0))
+    out = importance.classify(docs, labels, keep=tuple(docs.columns))
+    assert out.columns == [*docs.columns, "log_weight_", "n_grams_", "kept"]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "", r["n_grams_"], round(r["log_weight_"], 6)) for r in out.collect())
+    assert got == sorted((i is not None, i or 0, t or "", len(f), round(sum(map(ratio, f)), 6)) for (i, t, _), f in zip(rows, own, strict=True))
+    with_noise = [(r.w, r.kept) for r in out.select("kept", importance.perturbed("dsir", "log_weight_").alias("w")).collect()]
+    assert min(w for w, k in with_noise if k) > max(w for w, k in with_noise if not k)
+    cut = importance.calibrate(docs, labelled, importance.fit(docs, labelled), "dsir")
+    assert sum(k for _, k in with_noise) == sum(w >= cut for w, _ in with_noise)
+
+
 def test_quality_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (None, "a b"), (2, ""), (2, "a a a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
