@@ -17,7 +17,8 @@ and rolls to the next shard beyond ``shard_bytes``. A file is written under a pr
 renamed, so a task that runs twice leaves one whole file of the same content.
 
 Defined results: null text is an empty document; null doc_id comes first; equal doc_ids are ordered by
-text; an empty table writes no shard and reads back as no rows; a document may be of any length.
+text; an empty table writes no shard and reads back as no rows; a document may be of any length. Columns beyond doc_id and text are
+not read, so extra ones may have any name.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int,
     import zstandard
 
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # an id that many rows share gives one
     kind = np.uint16 if width == 2 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
