@@ -10,7 +10,8 @@ shared folder and reads it back as the next one's documents; all stages but the
 5. packing    token ids into sequences of 2048; one row per piece, as in query op6
 
 No stage takes a part of its input only. Stage 2 numbers the rows, so rows with a null or repeated doc_id are compared
-like others; rows with null columns stay; an empty table passes through all stages.
+like others; rows with null columns stay; columns beyond those of documents pass through all stages but the last, whatever
+their names; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -19,27 +20,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import importance, jaccard_join, mixing, packing, pii
-from gridloom.llm.storage import discard, materialize, read_table
+from gridloom.llm.queries import tokenizer
+from gridloom.llm.storage import discard, free, materialize, read_table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: rows of groups fewer than this are broadcast (some 10 MB), else joined by a shuffle
 BROADCAST_ROWS = 400_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = importance.classify(docs, read_table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    return judged.where(F.col(f"`{judged.columns[-1]}`")).select(*_all(docs))
+
+
+def _all(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-dups-rows")
-    groups = jaccard_join.link_documents(rows.select(F.col("_row").alias("doc_id"), "text"))
+    row = free(docs.columns, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-dups-rows")
+    groups = jaccard_join.link_documents(rows.select(F.col(row).alias("doc_id"), "text"))
     copies = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_row"), "component_id"), "near-dups-copies")
     members = materialize(copies.unionByName(copies.select(F.col("component_id").alias("_row"), "component_id").distinct()), "near-dups-members")
-    named = materialize(rows.select("_row", "doc_id").join(_small(members), "_row"), "near-dups-named")
+    named = materialize(rows.select(F.col(row).alias("_row"), "doc_id").join(_small(members), "_row"), "near-dups-named")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
-    going = materialize(named.join(first, "_row", "left_anti").select("_row"), "near-dups")
-    return rows.join(_small(going), "_row", "left_anti").select(*docs.columns)
+    going = materialize(named.join(first, "_row", "left_anti").select(F.col("_row").alias(row)), "near-dups")
+    return rows.join(_small(going), row, "left_anti").select(*_all(docs))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -48,7 +54,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = pii.pseudonymize(docs)
-    return done.withColumn("n_chars", F.when(F.size("replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    replaced = F.col(f"`{done.columns[-1]}`")
+    return done.withColumn("n_chars", F.when(F.size(replaced) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*_all(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, TOKENIZER, end_id=1, cache_pieces=300_000)  # after four stages an executor has less room
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), end_id=1, cache_pieces=300_000)  # after four stages an executor has less room
 
 
 STAGES = [("quality", quality), ("near_dups", near_dups), ("pii", private_data), ("mixing", mixture), ("packing", sequences)]
