@@ -62,6 +62,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["flagship"] = flagship
 ORACLE["flagship"] = "select upper(trim(c_mktsegment)) as c_mktsegment, count(o_orderkey) as n_orders, round(sum(o_totalprice), 2) as total from customer left join orders on c_custkey = o_custkey group by 1"
 
+
+
+def sheet(spark: SparkSession, sf_dir: str, name: str, order: str | None = None):
+    """A table as a sheet, in the table's own order or sorted."""
+    from .sheet import Sheet
+
+    df = load(spark, sf_dir, name)
+    return Sheet.of(df.orderBy(order) if order else df, name)
+
+
 # projections and filters
 
 sql("select_project", "select p_partkey, p_name, p_retailprice from part", "part")
@@ -71,7 +81,7 @@ sql("select_exprs", "select p_partkey, p_size * 2 as twice, p_retailprice * 0.9D
 
 @query("select c_custkey, c_name, c_nationkey, c_mktsegment from customer")
 def remove_columns(spark, sf_dir):
-    return load(spark, sf_dir, "customer").drop("c_acctbal")
+    return sheet(spark, sf_dir, "customer").remove("c_acctbal").frame
 
 
 sql("filter_compare", "select p_partkey, p_size from part where p_size >= 10 and p_size < 20 and p_retailprice <> 0", "part")
@@ -82,7 +92,7 @@ sql("filter_is_null", "select o_orderkey from orders where o_orderstatus is not
 
 @query("select c_custkey, c_mktsegment from customer where c_mktsegment = 'BUILDING'")
 def filter_rows_eq(spark, sf_dir):
-    return load(spark, sf_dir, "customer").where(F.col("c_mktsegment").eqNullSafe("BUILDING")).select("c_custkey", "c_mktsegment")
+    return sheet(spark, sf_dir, "customer").filter_rows("c_mktsegment", "BUILDING").select("c_custkey", "c_mktsegment").frame
 
 
 @query("select doc_id, lang from documents where coalesce(lang, '') <> '' or coalesce(cast(doc_id as varchar), '') <> ''")
@@ -92,34 +102,35 @@ def remove_empty_rows(spark, sf_dir):
 
 @query("select p_partkey, upper(p_name) as p_name, upper(p_brand) as p_brand from part")
 def map_upper(spark, sf_dir):
-    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    return quality.clean(p, quality.Cleaning(upper=True), ["p_name", "p_brand"])
+    return sheet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand").map("upper").frame
 
 
-@query("select p_partkey, case when p_partkey between 2 and 9 then lower(p_name) else p_name end as p_name from part")
+@query("select n_nationkey, case when n between 2 and 9 then lower(n_name) else n_name end as n_name from (select *, row_number() over (order by n_nationkey) - 1 as n from nation)")
 def map_range_lower(spark, sf_dir):
-    return quality.clean(load(spark, sf_dir, "part").select("p_partkey", "p_name"), quality.Cleaning(lower=True), ["p_name"], F.col("p_partkey").between(2, 9))
+    return sheet(spark, sf_dir, "nation", "n_nationkey").select("n_nationkey", "n_name").map("lower", at="B4:B11").frame
 
 
 # joins
 
 
-def _sheet_join(how: str, keys: str = "text", some: str = "c_custkey % 2 = 0") -> Query:
+def _table_join(left: tuple[str, ...], right: tuple[str, ...], how: str, keys: str) -> Query:
     def run(spark, sf_dir):
-        c = load(spark, sf_dir, "customer").where(some).select("c_custkey", "c_name")
-        o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-        return joins.join(c, o, ("c_custkey", "o_custkey"), how, keys)
+        (lt, *lc), (rt, *rc) = left, right
+        return joins.join(load(spark, sf_dir, lt).select(*lc), load(spark, sf_dir, rt).select(*rc), (lc[0], rc[0]), how, keys)
 
     return run
 
 
-for _how, _key in (("inner", "c_custkey"), ("left", "c_custkey"), ("right", "o_custkey as c_custkey"), ("full", "coalesce(c_custkey, o_custkey) as c_custkey")):
-    QUERIES[f"join_{_how}"] = _sheet_join(_how)
-    QUERIES[f"join_{_how}_native"] = _sheet_join(_how, "sql")
-    ORACLE[f"join_{_how}"] = ORACLE[f"join_{_how}_native"] = f"select {_key}, c_name, o_orderkey from (select * from customer where c_custkey % 2 = 0) c {_how} join orders o on c_custkey = o_custkey"
-    QUERIES[f"join_{_how}_whole"] = _sheet_join(_how, some="true")
-    QUERIES[f"join_{_how}_whole_native"] = _sheet_join(_how, "sql", some="true")
-    ORACLE[f"join_{_how}_whole"] = ORACLE[f"join_{_how}_whole_native"] = f"select {_key}, c_name, o_orderkey from customer c {_how} join orders o on c_custkey = o_custkey"
+_CUSTOMER, _ORDERS, _EVENTS = ("customer", "c_custkey", "c_name"), ("orders", "o_custkey", "o_orderkey"), ("events", "user_id", "event_id")
+for _how, _left, _right, _sql in (
+    ("inner", _CUSTOMER, _ORDERS, "select c_custkey, c_name, o_orderkey from customer join orders on c_custkey = o_custkey"),
+    ("left", _CUSTOMER, _EVENTS, "select c_custkey, c_name, event_id from customer left join events on c_custkey = user_id"),
+    ("right", _EVENTS, _CUSTOMER, "select c_custkey as user_id, event_id, c_name from events right join customer on c_custkey = user_id"),
+    ("full", _CUSTOMER, _EVENTS, "select coalesce(c_custkey, user_id) as c_custkey, c_name, event_id from customer full join events on c_custkey = user_id"),
+):
+    QUERIES[f"join_{_how}"] = _table_join(_left, _right, _how, "text")
+    QUERIES[f"join_{_how}_native"] = _table_join(_left, _right, _how, "sql")
+    ORACLE[f"join_{_how}"] = ORACLE[f"join_{_how}_native"] = _sql
 
 
 @query("""select l.k, l.a, r.b from (values (null, 1), ('', 2), ('30', 3), ('x', 4)) l(k, a)
@@ -131,8 +142,7 @@ def join_null_safe_string_key(spark, sf_dir):
 
 
 sql("join_cross", "select r_name, n_name from region cross join nation", "region nation")
-sql("join_theta", "select a.p_partkey, b.p_partkey as other from part a join part b on a.p_size = b.p_size and a.p_retailprice < b.p_retailprice where a.p_partkey <= 200", "part")
-sql("join_theta_whole", "select a.p_partkey, b.p_partkey as other from part a join part b on a.p_size = b.p_size and a.p_retailprice < b.p_retailprice", "part")
+sql("join_theta", "select a.p_partkey, b.p_partkey as other from part a join part b on a.p_size = b.p_size and a.p_retailprice < b.p_retailprice", "part")
 
 
 @query("select s_suppkey, s_name, s_nationkey, n_name, n_regionkey, r_name from supplier join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey")
@@ -147,9 +157,9 @@ def join_semi(spark, sf_dir):
     return joins.semi(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), c, ("o_custkey", "c_custkey")).select("o_orderkey")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from events where user_id = c_custkey)")
 def join_anti(spark, sf_dir):
-    return joins.anti(load(spark, sf_dir, "customer").select("c_custkey"), load(spark, sf_dir, "orders"), ("c_custkey", "o_custkey"))
+    return joins.anti(load(spark, sf_dir, "customer").select("c_custkey"), load(spark, sf_dir, "events"), ("c_custkey", "user_id"))
 
 
 @query("select a.r_regionkey, a.r_name, b.n_name, b.n_nationkey from region a join nation b on a.r_regionkey = b.n_nationkey")
@@ -188,25 +198,27 @@ def xlookup_next_larger(spark, sf_dir):
     return lookup.nearest(load(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", _tiers(spark), "floor", "tier", "tier", "above")
 
 
-@query("""select event_id, (select arg_max(o_orderkey, o_orderdate) from (select o_orderdate, min(o_orderkey) as o_orderkey from orders where o_custkey = 1 group by 1) where o_orderdate <= ts) as last_order from events""")
+@query("""select event_id, (select arg_max(o_orderkey, o_orderdate) from (select o_orderdate, min(o_orderkey) as o_orderkey from orders group by 1) where o_orderdate <= ts) as last_order from events""")
 def asof_last_order(spark, sf_dir):
-    return _last_order(spark, sf_dir, "o_custkey = 1")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double").alias("at")
+    o, e = load(spark, sf_dir, "orders").select(micros("o_orderdate"), "o_orderkey"), load(spark, sf_dir, "events").select("event_id", micros("ts"))
+    return lookup.nearest(e, "at", o, "at", "o_orderkey", "last_order", "below", row="o_orderkey").select("event_id", "last_order")
 
 
-@query("""select event_id, (select arg_max(o_orderkey, o_orderdate) from (select o_orderdate, min(o_orderkey) as o_orderkey from orders group by 1) where o_orderdate <= ts) as last_order from events""")
-def asof_last_order_whole(spark, sf_dir):
-    return _last_order(spark, sf_dir, "true")
+@query("select p_partkey, p_name from part where p_name similar to '.*gear' order by p_partkey limit 1")
+def xlookup_wildcard(spark, sf_dir):
+    return lookup.wildcard(load(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "*gear", "p_partkey")
 
 
-def _last_order(spark: SparkSession, sf_dir: str, some: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").where(some).groupBy(F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("at")).agg(F.min("o_orderkey").alias("o_orderkey"))
-    e = load(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
-    return lookup.nearest(e, "at", o, "at", "o_orderkey", "last_order", "below").select("event_id", "last_order")
+@query("select p_partkey, p_name from part where p_name similar to 'red .*' order by p_partkey desc limit 1")
+def xlookup_wildcard_last(spark, sf_dir):
+    return lookup.wildcard(load(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "RED *", "p_partkey", ignore_case=True, last=True)
 
 
-@query("select n_nationkey, n_name from nation where n_name similar to '.*A' order by n_nationkey limit 1")
-def xlookup_wildcard(spark, sf_dir):
-    return lookup.wildcard(load(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", "*A", "n_nationkey")
+@query("select n_nationkey, (select max(c_custkey) from customer where c_nationkey = n_nationkey) as last_customer from nation")
+def xlookup_last_match(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("last_customer"))
+    return lookup.exact(load(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", c, "c_nationkey", "last_customer", "pos", "found", last=True).withColumnRenamed("found", "last_customer")
 
 
 @query("select cast(min(n_nationkey) + 1 as bigint) as position from nation where n_regionkey = 2")
@@ -230,24 +242,23 @@ sql("select_distinct", "select distinct o_orderstatus, o_orderpriority from orde
 sql("global_agg", "select count(*) as n, round(sum(l_extendedprice), 2) as total, round(stddev_samp(l_quantity), 6) as sd from lineitem", "lineitem")
 
 
-@query("""select l_linenumber, coalesce(sum(l_quantity), 0.0) as total, avg(l_quantity) as mean, count(l_quantity) as n,
-cast(max(l_quantity) as double) as most, cast(min(l_quantity) as double) as least from lineitem group by 1""")
+@query("select round(sum(n_nationkey + n_regionkey), 6)::double as total, round(avg(n_nationkey), 6) as mean, count(*) * 2 as n, greatest(max(n_nationkey), max(n_regionkey))::double as most, least(min(n_nationkey), min(n_regionkey))::double as least from nation")
 def formula_aggregates(spark, sf_dir):
-    q = F.col("l_quantity").cast("double")
-    return load(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(
-        F.coalesce(F.sum(q), F.lit(0.0)).alias("total"), F.avg(q).alias("mean"), F.count(q).alias("n"), F.max(q).alias("most"), F.min(q).alias("least"))
+    s = sheet(spark, sf_dir, "nation", "n_nationkey").select("n_nationkey", "n_regionkey")
+    row = (s.aggregate("SUM"), round(s.aggregate("AVERAGE", "A2:A26"), 6), s.aggregate("COUNT"), s.aggregate("MAX"), s.aggregate("MIN"))
+    return spark.createDataFrame([row], "total double, mean double, n bigint, most double, least double")
 
 
-@query("select r_regionkey, round(product(1 + n_nationkey / 100.0::double), 9) as value from region join nation on r_regionkey = n_regionkey group by 1")
+@query("select product(r_regionkey + 1) as value from region")
 def formula_product(spark, sf_dir):
-    n = load(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.product(1 + F.col("n_nationkey") / F.lit(100.0)).alias("p"))
-    return n.select("r_regionkey", F.round("p", 9).alias("value"))
+    s = sheet(spark, sf_dir, "region", "r_regionkey").with_column("one", F.col("r_regionkey") + 1).select("one")
+    return spark.createDataFrame([(float(s.evaluate("=PRODUCT(A2:A6)")),)], "value double")
 
 
 @query("select cast(sum(n_nationkey + n_regionkey) as double) as total from nation where n_nationkey between 2 and 9")
 def range_sum_a1(spark, sf_dir):
-    n = load(spark, sf_dir, "nation").where(F.col("n_nationkey").between(2, 9))
-    return n.agg(F.sum((F.col("n_nationkey") + F.col("n_regionkey")).cast("double")).alias("total"))
+    s = sheet(spark, sf_dir, "nation", "n_nationkey").select("n_nationkey", "n_regionkey")
+    return spark.createDataFrame([(s.aggregate("SUM", "A4:B11"),)], "total double")
 
 
 @query("select o_orderkey, o_custkey, o_orderpriority from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) as n from orders) where n = 1")
@@ -272,17 +283,17 @@ def limit_offset(spark, sf_dir):
 
 # set operations and merging
 
-_HALVES = "a as (select c_custkey, c_name, c_acctbal from customer where c_custkey % 3 <> 0), b as (select c_custkey, upper(c_name) as c_name, c_mktsegment from customer where c_custkey % 2 = 0)"
+_BOTH = "a as (select s_suppkey as k, s_name as name, s_acctbal as bal from supplier), b as (select c_custkey as k, upper(c_name) as name, c_mktsegment from customer)"
 
 
-def _halves(spark, sf_dir):
-    c = load(spark, sf_dir, "customer")
-    return c.where("c_custkey % 3 <> 0").select("c_custkey", "c_name", "c_acctbal"), c.where("c_custkey % 2 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), "c_mktsegment")
+def _both(spark, sf_dir):
+    s, c = load(spark, sf_dir, "supplier"), load(spark, sf_dir, "customer")
+    return s.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal")), c.select(F.col("c_custkey").alias("k"), F.upper("c_name").alias("name"), "c_mktsegment")
 
 
-@query(f"with {_HALVES} select * from a union all by name select c_custkey, c_name from b")
+@query(f"with {_BOTH} select * from a union all by name select k, name from b")
 def append_aligned(spark, sf_dir):
-    return rows.append(*_halves(spark, sf_dir))
+    return rows.append(*_both(spark, sf_dir))
 
 
 @query("select n_name as name from nation union all select r_name from region")
@@ -290,16 +301,16 @@ def append_union_all(spark, sf_dir):
     return rows.append(load(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), load(spark, sf_dir, "region").select(F.col("r_name").alias("name")))
 
 
-@query(f"with {_HALVES} select * from a union all by name select c_custkey, c_name from b where c_custkey not in (select c_custkey from a)")
+@query(f"with {_BOTH} select * from a union all by name select k, name from b where k not in (select k from a)")
 def append_distinct(spark, sf_dir):
-    a, b = _halves(spark, sf_dir)
-    return rows.append_distinct(a, b, "c_custkey", "c_custkey")
+    a, b = _both(spark, sf_dir)
+    return rows.append_distinct(a, b, "k", "k")
 
 
-@query(f"with {_HALVES} select coalesce(a.c_custkey, b.c_custkey) as c_custkey, coalesce(b.c_name, a.c_name) as c_name, a.c_acctbal from a full join b on a.c_custkey = b.c_custkey")
+@query(f"with {_BOTH} select coalesce(a.k, b.k) as k, coalesce(b.name, a.name) as name, a.bal from a full join b on a.k = b.k")
 def upsert(spark, sf_dir):
-    a, b = _halves(spark, sf_dir)
-    return rows.upsert(a.withColumn("__t", F.col("c_custkey")), b.withColumn("__s", F.col("c_custkey")), "c_custkey", "__t", "__s").drop("__t")
+    a, b = _both(spark, sf_dir)
+    return rows.upsert(a.withColumn("__t", F.col("k")), b.withColumn("__s", F.col("k")), "k", "__t", "__s").drop("__t")
 
 
 @query("select 'nation' as source, n_nationkey as k, n_name as name, n_regionkey as region, null as extra from nation union all select 'region', r_regionkey, r_name, null, 'x' from region")
@@ -311,8 +322,7 @@ def consolidate_source(spark, sf_dir):
 
 sql("set_union", "select c_nationkey as k from customer union select s_nationkey from supplier", "customer supplier")
 sql("set_intersect", "select c_nationkey as k from customer intersect select s_nationkey from supplier", "customer supplier")
-sql("set_except", "select o_custkey as k from orders except select c_custkey from customer where c_custkey % 2 = 0", "orders customer")
-sql("set_except_whole", "select c_custkey as k from customer except select o_custkey from orders", "customer orders")
+sql("set_except", "select c_custkey as k from customer except select user_id from events", "customer events")
 sql("cte", "with big as (select o_custkey, sum(o_totalprice) as t from orders group by o_custkey) select o_custkey, round(t, 2) as t from big where t > (select avg(t) from big)", "orders")
 sql("subquery_from", "select k, count(*) as n from (select o_custkey % 10 as k from orders where o_orderstatus = 'F') s group by k", "orders")
 sql("subquery_in_exists", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 100000) and exists (select 1 from nation where n_nationkey = c_nationkey and n_regionkey < 3)", "customer orders nation")
@@ -447,19 +457,25 @@ def ssf_date(spark, sf_dir):
 # nested values
 
 
-@query("select event_id, json_extract_string(props, '$.' || k) as value from events, (select json_keys(props)[1] as k from events order by event_id limit 1)")
+@query("select event_id, json_extract_string(props, '$.k')::bigint as value from events")
 def json_extract(spark, sf_dir):
-    e = load(spark, sf_dir, "events")
-    first = e.orderBy("event_id").select(F.json_object_keys("props")[0]).first()[0]
-    return e.select("event_id", F.get_json_object("props", f"$.{first}").alias("value"))
+    s = sheet(spark, sf_dir, "events").with_column("value", F.get_json_object("props", "$.k").cast("bigint"))
+    return s.select("event_id", "value").frame
 
 
-@query("select vec_id, len(list_filter(embedding, lambda x: x > 0)) as n_positive from embeddings")
+@query("select r_regionkey, case when r_regionkey > 2 then 'big' else 'small' end as size from region")
 def array_filter_mask(spark, sf_dir):
-    v = F.col("embedding")
-    mask = F.transform(v, lambda x: x > 0)
-    kept = F.filter(F.arrays_zip(v.alias("v"), mask.alias("m")), lambda p: p["m"])
-    return load(spark, sf_dir, "embeddings").select("vec_id", F.size(kept).cast("long").alias("n_positive"))
+    return run_script(spark, sf_dir, "region", """
+dim big = filter(region.column_by_name("r_regionkey"), [false, false, false, true, true])
+dim out = []
+for each row in region
+  if row.r_regionkey in big then
+    out = out + [{r_regionkey: row.r_regionkey, size: "big"}]
+  else
+    out = out + [{r_regionkey: row.r_regionkey, size: "small"}]
+  end if
+next
+""", region="r_regionkey")
 
 
 @query()
@@ -528,6 +544,20 @@ def fill_down_lifted(spark, sf_dir):
     return out.withColumn("total", F.col("total").cast("double"))
 
 
+
+
+def run_script(spark: SparkSession, sf_dir: str, names: str, text: str, out: str = "out", **order: str) -> DataFrame:
+    """``out`` of a script that sees the tables ``names``; FOLDER in its text is a fresh shared folder."""
+    from .lang.interpreter import Interpreter
+    from .sources.shared import fresh_path
+
+    run = Interpreter(spark)
+    for n in names.split():
+        run.set(n, sheet(spark, sf_dir, n, order.get(n)))
+    run.run(text.replace("FOLDER", fresh_path(spark, "files")))
+    return run.frame(out)
+
+
 SCRIPT = """
 dim big = query(select l_returnflag, sum(l_quantity) as qty, avg(l_discount) as disc from lineitem where l_quantity > 10 group by l_returnflag)
 function label(flag, optional suffix = "!")
@@ -573,3 +603,6 @@ def dsl_python_udf(spark, sf_dir):
     load(spark, sf_dir, "region").createOrReplaceTempView("region")
     run.run("dim out = query(select r_regionkey, twice(r_regionkey) as twice from region)")
     return run.frame("out")
+
+
+from . import catalog_sheets  # noqa: E402, F401  registers its queries

@@ -14,14 +14,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DIV0, NA, NAME, NUM, VALUE, GridError
+from ..errors import DIV0, NA, NAME, NUM, REF, VALUE, GridError, Unsupported
 from ..operators.keys import number_text
 from ..plans import formulas as P
-from ..plans.addresses import Cell
+from ..plans.addresses import Cell, Range
 
 EPOCH_SERIAL = 25569
 
 
+_OPEN = object()
+
+
 @dataclass(frozen=True)
 class Val:
     kind: str  # num, int, text, bool, empty, error, array
@@ -29,6 +32,8 @@ class Val:
     err: Column | None = None
     items: tuple[Val, ...] = ()
     nullable: bool = False  # a null of this column is an empty cell
+    const: object = _OPEN  # what a literal is
+    cells: tuple[tuple[object, ...], ...] | None = None  # of a fixed range: its values
 
     @property
     def numeric(self) -> bool:
@@ -47,14 +52,14 @@ def from_column(c: Column, kind: T.DataType) -> Val:
 
 def literal(v: object) -> Val:
     if v is None:
-        return Val("empty", F.lit(None).cast("double"))
+        return Val("empty", F.lit(None).cast("double"), const=v)
     if isinstance(v, bool):
-        return Val("bool", F.lit(v))
+        return Val("bool", F.lit(v), const=v)
     if isinstance(v, int):
-        return Val("int", F.lit(v).cast("bigint"))
+        return Val("int", F.lit(v).cast("bigint"), const=v)
     if isinstance(v, float):
-        return Val("num", F.lit(v))
-    return Val("text", F.lit(v))
+        return Val("num", F.lit(v), const=v)
+    return Val("text", F.lit(v), const=v)
 
 
 def error(label: str) -> Val:
@@ -398,9 +403,147 @@ def operate(op: str, a: Val, b: Val) -> Val:
     raise GridError(f"unknown operator {op}")
 
 
-def compile_tree(tree, cell: Callable[[Cell], Val], name: Callable[[str], Val]) -> Val:
-    """A formula tree as a value; ``cell`` and ``name`` give references their columns."""
-    go = lambda t: compile_tree(t, cell, name)
+# lookups in fixed ranges: the table is a literal, a row's place in it an expression
+
+
+def _kind_of(v: object) -> str:
+    return "bool" if isinstance(v, bool) else "num" if isinstance(v, (int, float)) else "text"
+
+
+def _given(v: Val, kind: type | tuple[type, ...], default: object) -> object:
+    if v is None:
+        return default
+    if v.const is _OPEN or not isinstance(v.const, kind):
+        raise Unsupported("a lookup's column, row and modes must be constants")
+    return v.const
+
+
+def _table(v: Val) -> list[list[object]]:
+    if v.cells is None:
+        raise Unsupported("a lookup needs a fixed range ($A$1:$B$9)")
+    return [list(r) for r in v.cells]
+
+
+def _line(v: Val) -> list[object]:
+    return [x for r in _table(v) for x in r]
+
+
+def _sought(v: Val, keys: list[object]) -> tuple[Column, str, list[tuple[int, object]]]:
+    """(the value sought, its kind, (place, key) of the keys it can be compared with)."""
+    kind = "num" if v.numeric else v.kind
+    return (v.col.cast("double") if kind == "num" else v.col), kind, [(i, float(k) if kind == "num" else k) for i, k in enumerate(keys, 1) if k is not None and _kind_of(k) == kind]
+
+
+def _at(places: list[int], n: Column) -> Column:
+    """The n-th of ``places`` (from 1), null for 0."""
+    return F.when(n > 0, F.element_at(F.array(*map(F.lit, places)), n.cast("int"))) if places else F.lit(None).cast("int")
+
+
+def _exact_place(v: Val, keys: list[object], last: bool = False) -> Column:
+    x, _, own = _sought(v, keys)
+    own = own[::-1] if last else own
+    return _at([i for i, _ in own], F.array_position(F.array(*[F.lit(k) for _, k in own]), x)) if own else F.lit(None).cast("int")
+
+
+def _scanned_place(v: Val, keys: list[object], down: bool = False) -> Column:
+    """The last key up to the value before the first one beyond it, over keys in any order: by running extremes."""
+    if any(k is not None and _kind_of(k) != ("num" if v.numeric else v.kind) for k in keys):
+        raise Unsupported("keys of several types can't be ordered")
+    x, _, own = _sought(v, keys)
+    tops: list[object] = []
+    for _, k in own:
+        tops.append(k if not tops else (min if down else max)(tops[-1], k))
+    return _at([i for i, _ in own], F.size(F.filter(F.array(*map(F.lit, tops)), lambda t: t >= x if down else t <= x))) if own else F.lit(None).cast("int")
+
+
+def _picked(values: list[object], place: Column, err: Column | None, missing: Val | None = None) -> Val:
+    kinds = {_kind_of(v) for v in values if v is not None} or {"text"}
+    if len(kinds) > 1:
+        raise Unsupported("a lookup column of several types")
+    kind = kinds.pop()
+    if kind == "num" and all(isinstance(v, int) for v in values if v is not None):
+        kind = "int"
+    spark_kind = {"bool": "boolean", "num": "double", "int": "bigint", "text": "string"}[kind]
+    hit = F.element_at(F.array(*[F.lit(v).cast(spark_kind) for v in values]), place)
+    if missing is None:
+        return Val(kind, hit, first_error(err, flag(place.isNull(), NA)), nullable=None in values)
+    if kind == "text" or missing.kind == kind:
+        return Val(kind, F.when(place.isNotNull(), hit).otherwise(text(missing).col if kind == "text" else missing.col), first_error(err, F.when(place.isNull(), missing.err) if missing.err is not None else None), nullable=None in values)
+    raise Unsupported("XLOOKUP's values and its default must be of one type")
+
+
+def _part(n: int, size: int) -> int | None:
+    return None if n < 1 or n > size else n - 1
+
+
+def _lookup_in(v: Val, keys: list[object], values: Callable[[int], list[object]], n: Val, size: int, approx: Val | None) -> Val:
+    at = _part(k := int(_given(n, (int, float), 1)), size)
+    if at is None:
+        return error(VALUE if k < 1 else REF)
+    place = _scanned_place(v, keys) if _given(approx, (bool, int), True) else _exact_place(v, keys)
+    return _picked(values(at), place, v.err)
+
+
+@function("VLOOKUP")
+def _vlookup(v: Val, table: Val, col: Val, approx: Val | None = None) -> Val:
+    t = _table(table)
+    return _lookup_in(v, [r[0] for r in t], lambda c: [r[c] for r in t], col, len(t[0]), approx)
+
+
+@function("HLOOKUP")
+def _hlookup(v: Val, table: Val, row: Val, approx: Val | None = None) -> Val:
+    t = _table(table)
+    return _lookup_in(v, t[0], lambda r: t[r], row, len(t), approx)
+
+
+@function("MATCH")
+def _match(v: Val, keys: Val, kind: Val | None = None) -> Val:
+    k, line = _given(kind, (int, float), 1), _line(keys)
+    if k not in (-1, 0, 1):
+        return error(VALUE)
+    place = _exact_place(v, line) if k == 0 else _scanned_place(v, line, down=k < 0)
+    return Val("int", place.cast("bigint"), first_error(v.err, flag(place.isNull(), NA)))
+
+
+@function("XLOOKUP")
+def _xlookup(v: Val, look: Val, give: Val, missing: Val | None = None, mode: Val | None = None, search: Val | None = None) -> Val:
+    keys, values, how, way = _line(look), _line(give), _given(mode, (int, float), 0), _given(search, (int, float), 1)
+    if how not in (-1, 0, 1) or way not in (-1, 1) or len(keys) != len(values):
+        raise Unsupported("XLOOKUP over a column knows the modes -1, 0, 1 and searches from either end")
+    place = _exact_place(v, keys, last=way < 0)
+    if how:
+        x, _, own = _sought(v, keys)
+        first: dict[object, int] = {}
+        for i, k in own if way > 0 else own[::-1]:
+            first.setdefault(k, i)
+        ranked = sorted(first, reverse=how > 0)
+        if ranked:
+            beyond = F.size(F.filter(F.array(*map(F.lit, ranked)), lambda k: k < x if how < 0 else k > x))
+            place = F.coalesce(place, _at([first[k] for k in ranked], beyond))
+    return _picked(values, place, v.err, missing)
+
+
+@function("INDEX")
+def _index(table: Val, row: Val, col: Val | None = None) -> Val:
+    t = _table(table)
+    if col is None and len(t) > 1 and len(t[0]) > 1:
+        raise Unsupported("INDEX of a whole row")
+    values = [r[0] for r in t] if col is None and len(t[0]) == 1 else t[0] if col is None else None
+    if values is None:
+        at = _part(k := int(_given(col, (int, float), 1)), len(t[0]))
+        if at is None:
+            return error(VALUE if k < 1 else REF)
+        values = [r[at] for r in t]
+    n = number(row)
+    k = F.floor(n.col).cast("int")
+    fits = F.when((k >= 1) & (k <= len(values)), k)
+    out = _picked(values, fits, n.err)
+    return Val(out.kind, out.col, first_error(n.err, flag(k < 1, VALUE), flag(k > len(values), REF)), nullable=out.nullable)
+
+
+def compile_tree(tree, cell: Callable[[Cell], Val], name: Callable[[str], Val], table: Callable[[Range], list[list[object]]] | None = None) -> Val:
+    """A formula tree as a value; ``cell`` and ``name`` give references their columns, ``table`` a fixed range its values."""
+    go = lambda t: compile_tree(t, cell, name, table)
     match tree:
         case P.Literal(v):
             return literal(v)
@@ -410,11 +553,16 @@ def compile_tree(tree, cell: Callable[[Cell], Val], name: Callable[[str], Val])
             return name(n)
         case P.Ref(c):
             return cell(c)
+        case P.RangeRef(r) if table is not None and r.first.fixed_row and r.last.fixed_row:
+            cells = tuple(tuple(row) for row in table(r))
+            return Val("array", items=tuple(literal(v) for row in cells for v in row), cells=cells)
         case P.RangeRef(r):
             top, left, bottom, right = r.box()
             return Val("array", items=tuple(cell(Cell(i, j, sheet=r.first.sheet)) for i in range(top, bottom + 1) for j in range(left, right + 1)))
         case P.Unary("%", arg):
             return operate("/", go(arg), literal(100))
+        case P.Unary("-", P.Literal(v)) if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return literal(-v)
         case P.Unary("-", arg):
             n = number(go(arg))
             return Val("num", -n.col, n.err)
@@ -432,9 +580,9 @@ def compile_tree(tree, cell: Callable[[Cell], Val], name: Callable[[str], Val])
     raise GridError(f"can't compile {tree!r}")
 
 
-def formula(text_: str, schema: T.StructType, row: int = 0) -> Val:
-    """A formula over one row: names are columns; A1 references must point into the formula's own ``row`` (0-based)."""
-    from ..errors import REF, Unsupported
+def formula(text_: str, schema: T.StructType, row: int = 0, table: Callable[[Range], list[list[object]]] | None = None) -> Val:
+    """A formula over one row: names are columns; A1 references must point into the formula's own ``row`` (0-based), but for
+    ranges with fixed rows, whose values ``table`` gives."""
 
     def of_name(n: str) -> Val:
         return from_column(F.col(f"`{n}`"), schema[n].dataType) if n in schema.names else error(NAME)
@@ -446,7 +594,7 @@ def formula(text_: str, schema: T.StructType, row: int = 0) -> Val:
             raise Unsupported("a lifted formula refers to its own row only")
         return of_name(schema.names[c.col]) if c.col < len(schema.names) else error(REF)
 
-    return compile_tree(P.parse(text_), of_cell, of_name)
+    return compile_tree(P.parse(text_), of_cell, of_name, table)
 
 
 def shown(v: Val) -> Column:

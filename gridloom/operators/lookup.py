@@ -32,18 +32,20 @@ def exact(df: DataFrame, column: str, table: DataFrame, key: str, value: str, ro
     return met.withColumn(into, out).drop("__k", "__r")
 
 
-def nearest(df: DataFrame, column: str, table: DataFrame, key: str, value: str, into: str, direction: str = "below", buckets: int = 64) -> DataFrame:
+def nearest(df: DataFrame, column: str, table: DataFrame, key: str, value: str, into: str, direction: str = "below", row: str | None = None, buckets: int | None = None) -> DataFrame:
     """As-of: the value at the largest key <= ``column`` (``below``) or the smallest >= it (``above``).
 
     Rows are dealt by ranges of the key, each range is sorted on its own, and only the last (first) entry of every range is carried
-    to the next ranges, so no task sees more than a range: ``buckets`` ranges from approximate quantiles of ``column``.
+    to the next ranges, so no task sees more than a range: ``buckets`` ranges from approximate quantiles of ``column``, by default
+    one for 200,000 rows and 64 at least. Of equal keys the first by ``row`` counts (without one, the smallest value).
     """
     need(df, [column])
     up = direction == "above"
     x = F.col(f"`{column}`").cast("double")
+    buckets = buckets or max(64, df.count() // 200_000)
     cuts = sorted({float(q) for q in df.select(x.alias("__x")).where("__x is not null").approxQuantile("__x", [i / buckets for i in range(1, buckets)], 0.01)})
     part = lambda c: F.when(c.isNull(), -1).otherwise(F.aggregate(F.array(*map(F.lit, cuts)).cast("array<double>"), F.lit(0), lambda a, q: a + F.when(c >= q, 1).otherwise(0)))
-    t = table.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").cast("double").alias("__key")).agg(F.first(f"`{value}`").alias("__v"))
+    t = table.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").cast("double").alias("__key")).agg((F.min_by(f"`{value}`", row) if row else F.min(f"`{value}`")).alias("__v"))
     t = t.withColumn("__p", part(F.col("__key")))
     rows = df.withColumn("__key", x).withColumn("__p", part(F.col("__key"))).withColumn("__side", F.lit(1))
     entry = F.struct(F.lit(True).alias("there"), F.col("__v").alias("v"))
@@ -63,14 +65,18 @@ def nearest(df: DataFrame, column: str, table: DataFrame, key: str, value: str,
 
 
 def prefix(df: DataFrame, column: str, table: DataFrame, key: str, value: str, row: str, into: str) -> DataFrame:
-    """Approximate VLOOKUP/MATCH over rows in any order (the range is a sheet range: it is put in row order in one task)."""
+    """Approximate VLOOKUP/MATCH over rows in any order. The running maximum of the keys is taken within blocks of 65,536 rows by
+    number, and the maxima of the blocks before are carried over (one row per block)."""
     need(table, [key, value, row])
-    w = Window.orderBy(row)
     k = F.col(f"`{key}`").cast("double")
-    t = table.select(k.alias("__key"), F.col(f"`{value}`").alias("__v"), F.col(row).alias("__row"), F.max(k).over(w).alias("__top"))
+    t = table.select(k.alias("__key"), F.col(f"`{value}`").alias("__v"), F.col(row).alias("__row"), F.floor(F.col(row) / F.lit(65_536)).alias("__b"))
+    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = t.groupBy("__b").agg(F.max("__key").alias("__m")).select("__b", F.max("__m").over(w).alias("__m"))
+    t = t.withColumn("__own", F.max("__key").over(Window.partitionBy("__b").orderBy("__row"))).join(blocks, "__b")
+    t = t.withColumn("__top", F.greatest("__own", "__m"))
     # x stops before the first row whose running maximum exceeds it: the last row with running maximum <= x
     steps = t.groupBy("__top").agg(F.max_by("__v", "__row").alias("__v"))
-    return nearest(df, column, steps, "__top", "__v", into)
+    return nearest(df, column, steps.where("__top is not null"), "__top", "__v", into)
 
 
 def wildcard_regex(pattern: str) -> str:

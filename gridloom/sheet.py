@@ -20,7 +20,7 @@ from .functions import columns as C
 from .operators import joins, quality, rows
 from .operators.keys import need, text_of
 from .operators.ordering import KEY, ROW, before, beside, by, keyed, number_rows
-from .plans.addresses import parse_cell, parse_range
+from .plans.addresses import Range, parse_cell, parse_range
 from .plans.grid import Grid, lift
 from .sources import files
 
@@ -194,9 +194,24 @@ class Sheet:
         v = C.formula(formula, self.frame.schema)
         return self.with_column(name, C.shown(v))
 
-    def fill_down(self, name: str, formula: str, row: int = 1) -> Sheet:
-        """A formula in A1 style, as it stands in the sheet's row ``row`` (0 is the header), over every row."""
-        return self._with(lift(self.body.select(*[f"`{c}`" for c in self.columns], self.order), name, formula, row).select(*[f"`{c}`" for c in dict.fromkeys([*self.columns, name])], self.order))
+    def fill_down(self, name: str, formula: str, row: int = 1, others: dict[str, Sheet] | None = None, most: int = 10_000) -> Sheet:
+        """A formula in A1 style, as it stands in the sheet's row ``row`` (0 is the header), over every row.
+
+        Ranges with fixed rows (``$A$1:$B$9``, also of ``others``: ``rates!$A$1:$B$9``) are read once, as a lookup's table; they may
+        have ``most`` cells. Larger tables are joined (:mod:`gridloom.operators.lookup`).
+        """
+
+        def table(r: Range) -> list[list[object]]:
+            top, left, bottom, right = r.box()
+            if (bottom - top + 1) * (right - left + 1) > most:
+                raise GridError(f"{r.text()} has more than {most} cells")
+            if r.first.sheet and r.first.sheet not in (others or {}):
+                raise GridError(f"no sheet {r.first.sheet!r}")
+            s = others[r.first.sheet] if r.first.sheet else self
+            return s.range(Range(replace(r.first, sheet=None), replace(r.last, sheet=None)).text()).rows()
+
+        body = lift(self.body.select(*[f"`{c}`" for c in self.columns], self.order), name, formula, row, table)
+        return self._with(body.select(*[f"`{c}`" for c in dict.fromkeys([*self.columns, name])], self.order))
 
     def name_columns_by_row(self, at: int) -> Sheet:
         """The cells of a row become the column names; the row goes, all others are text as sheets show it."""
