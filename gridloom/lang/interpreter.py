@@ -304,7 +304,7 @@ class Interpreter:
             return self.book_call(low.removeprefix("book_"), given)
         if given and isinstance(given[0], Sheet) and low in ("sum", "avg", "average", "min", "max", "count"):
             return given[0].aggregate(low, *given[1:])
-        if name.upper() in S.FUNCTIONS and low not in ("abs",):
+        if name.upper() in S.FUNCTIONS and low not in ("abs", "int"):
             return V.formula(name, given)
         if low in V.BUILTINS:
             return V.BUILTINS[low](*given)

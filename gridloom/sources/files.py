@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import urllib.request
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,46 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs.rename(own, where)
 
 
+def put_texts(spark: SparkSession, path: str, texts: Iterator[str], held: int = 1_000_000) -> None:
+    """One file written as its texts come, about ``held`` characters at a time."""
+    jvm = spark._jvm
+    where, own = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".writing")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(own, True)
+    try:
+        waiting, n = [], 0
+        for t in texts:
+            waiting.append(t)
+            n += len(t)
+            if n >= held:
+                out.write(bytearray("".join(waiting).encode()))
+                waiting, n = [], 0
+        out.write(bytearray("".join(waiting).encode()))
+    finally:
+        out.close()
+    if fs.exists(where):
+        fs.delete(where, True)
+    fs.rename(own, where)
+
+
+def in_file_order(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df``, read from files, with the order key of its rows: files by name, then place in the file.
+
+    Spark deals out files by size, so its own order is that of one file only.
+    """
+    from ..operators.ordering import KEY, number_rows
+
+    names = sorted(df.inputFiles())
+    at = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    if len(names) > most:
+        return number_rows(df.withColumns({"__f": F.col("_metadata.file_path"), "__s": at[0], "__i": at[1]}).orderBy("__f", "__s", "__i").drop("__f", "__s", "__i"))
+    if len(names) > 1:
+        plain = lambda n: n.replace("file:///", "file:/")
+        rank = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (plain(n), k)])
+        at.insert(0, F.element_at(rank, F.replace(F.col("_metadata.file_path"), F.lit("file:///"), F.lit("file:/"))))
+    return df.withColumn(KEY, F.array(*[c.cast("long") for c in at]))
+
+
 def from_rows(spark: SparkSession, rows: list[list[object]], headers: bool = True, words: infer.Words | None = None) -> DataFrame:
     """A frame of parsed rows; text cells are typed by ``words``, typed cells by what they are."""
     width = max(map(len, rows), default=0)
@@ -90,8 +131,13 @@ def looks_like_header(first: list[str | None], second: list[str | None] | None)
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", has_headers: bool = True, quote: str = '"', infer_types: bool = True, detect_headers: bool = False) -> DataFrame:
-    """Cells are typed as sheets do it (:mod:`.infer`), not by Spark's inference."""
-    r = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("multiLine", True)
+    """Cells are typed as sheets do it (:mod:`.infer`), not by Spark's inference.
+
+    Only a file in which quotes span lines (a line has an odd number of them) must be read in one piece; others are split.
+    """
+    odd = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit(""))) if quote else F.lit(0)
+    spans = bool(spark.read.text(path).where(odd % 2 == 1).take(1))
+    r = spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("multiLine", spans)
     if detect_headers:
         two = [list(x) for x in r.csv(path).head(2)]
         has_headers = bool(two) and looks_like_header(two[0], two[1] if len(two) > 1 else None)
@@ -216,6 +262,14 @@ def clean_number(v: object) -> object:
     return str(v) if isinstance(v, float) and not math.isfinite(v) else v
 
 
+def json_texts(df: DataFrame) -> Iterator[str]:
+    """The parts of a JSON array of rows; a partition of them at a time is on the driver."""
+    yield "["
+    for k, r in enumerate(df.toLocalIterator()):
+        yield (", " if k else "") + json.dumps({c: clean_number(v) for c, v in r.asDict(True).items()}, default=str, ensure_ascii=False)
+    yield "]"
+
+
 def json_text(df: DataFrame, pretty: bool = False) -> str:
     rows = [{k: clean_number(v) for k, v in r.asDict(True).items()} for r in df.collect()]
     return json.dumps(rows, indent=2 if pretty else None, default=str, ensure_ascii=False)
@@ -249,8 +303,7 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", key: str | None = N
             k = key or old.columns[0]
             t, s = number_rows(old, "__t"), number_rows(body, "__s")
             body = (rows.append_distinct(t, s, k, "__s") if mode == "append_distinct" else rows.upsert(t, s, k, "__t", "__s").orderBy("__t")).drop("__t")
-        made = [r.asDict() for r in body.collect()] if kind in ("json", "xlsx", "toon") else None
-        if made is None:
+        if kind not in ("json", "xlsx", "toon"):
             held = path.rstrip("/") + ".new"
             _write_spark(body, held, kind)
             spark_rename(spark, held, path)
@@ -259,7 +312,7 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", key: str | None = N
         case "csv" | "tsv" | "jsonl" | "parquet":
             _write_spark(body, path, kind)
         case "json":
-            put_bytes(spark, path, json_text(body).encode())
+            put_texts(spark, path, json_texts(body))
         case "xlsx":
             put_bytes(spark, path, xlsx.write_book({stem(path): as_rows(body)}))
         case "toon":

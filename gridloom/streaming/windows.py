@@ -34,19 +34,40 @@ def _names(aggs: list[Column]) -> list[str]:
     return [a._jc.toString().rpartition(" AS ")[2].strip("`") for a in aggs]
 
 
-def every(stream: DataFrame, rows: int, sink) -> StreamingQuery:
-    """A count trigger: ``sink(frame, number)`` is called for every ``rows`` rows that came, and for what is left at the end of a batch."""
-    number = 0
-
-    def split(batch: DataFrame, _: int) -> None:
-        nonlocal number
-        numbered = number_rows(batch).persist()
-        for k in range(-(-numbered.count() // rows)):
-            sink(numbered.where((F.col(ROW) >= k * rows) & (F.col(ROW) < (k + 1) * rows)).drop(ROW), number)
-            number += 1
-        numbered.unpersist()
-
-    return stream.writeStream.trigger(availableNow=True).foreachBatch(split).start()
+class Counting:
+    """A running count trigger; :meth:`awaitTermination` gives the sink what is left when the stream has ended."""
+
+    def __init__(self, rows: int, sink):
+        self.rows, self.sink, self.number = rows, sink, 0
+        self.rest: DataFrame | None = None
+        self.query: StreamingQuery | None = None
+
+    def take(self, batch: DataFrame, _: int) -> None:
+        both = batch if self.rest is None else self.rest.withColumn("__old", F.lit(0)).unionByName(batch.withColumn("__old", F.lit(1))).orderBy("__old").drop("__old")
+        numbered = number_rows(both)  # a written table: numbers and rows are of one execution
+        n = numbered.count() // self.rows
+        for k in range(n):
+            self._give(numbered.where((F.col(ROW) >= k * self.rows) & (F.col(ROW) < (k + 1) * self.rows)).orderBy(ROW).drop(ROW))
+        rest = numbered.where(F.col(ROW) >= n * self.rows).orderBy(ROW).drop(ROW)
+        self.rest = rest if rest.take(1) else None
+
+    def _give(self, part: DataFrame) -> None:
+        self.sink(part, self.number)
+        self.number += 1
+
+    def awaitTermination(self) -> None:  # noqa: N802  as a StreamingQuery's
+        self.query.awaitTermination()
+        if self.rest is not None:
+            self._give(self.rest)
+            self.rest = None
+
+
+def every(stream: DataFrame, rows: int, sink) -> Counting:
+    """A count trigger: ``sink(frame, number)`` is called for every ``rows`` rows that came, in whatever micro-batches they did;
+    fewer rows than that are held back (``rows`` of them at most) until more come or the stream ends."""
+    out = Counting(rows, sink)
+    out.query = stream.writeStream.trigger(availableNow=True).foreachBatch(out.take).start()
+    return out
 
 
 def until_end(stream: DataFrame, sink) -> None:

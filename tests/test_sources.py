@@ -92,3 +92,17 @@ def test_sheets_and_books(spark):
     b = Book({"x": s}).merge(Book({"x": s, "y": s.select("n")}))
     assert b.names() == ["x", "x_1", "y"] and b.consolidate("from").columns == ["from", "n", "t"] and b.rename("y", "z").get(-1).name == "z"
     assert s.invalid("n", "range", low=2, high=3) == [1]
+
+
+def test_folders_keep_their_order(spark, tmp_path):
+    """Parts of very different sizes: Spark reads the large ones first."""
+    for kind in ("csv", "jsonl", "parquet"):
+        s = Sheet.of(spark.range(0, 3000, 1, 1).select("id", __import__("pyspark.sql.functions").sql.functions.expr("repeat('x', cast(id / 20 as int))").alias("t")).repartitionByRange(6, "id"))
+        s.write(str(tmp_path / f"o.{kind}"))
+        back = Sheet.read(spark, str(tmp_path / f"o.{kind}"))
+        assert back.column("id") == list(range(3000)) and back.df.where("__row <> id").count() == 0, kind
+
+
+def test_quotes_over_lines(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,"x\ny"\n2,"say ""hi"""\n')
+    assert Sheet.read(spark, str(tmp_path / "q.csv")).rows() == [[1, "x\ny"], [2, 'say "hi"']]
