@@ -1,7 +1,7 @@
 """Approximate nearest neighbours (operator 3): inverted file, product-quantised residuals, exact reranking.
 
-Training (bounded, documented sample: the ``train_rows`` vectors with the smallest hash of their id) gives
-``lists`` coarse centroids and, for the residuals, ``parts`` codebooks of 256 entries each. Every vector is
+Training (bounded, documented sample: the ``train_rows`` vectors with the smallest hash of their id) gives,
+each vector once however often it occurs, ``lists`` coarse centroids and, for the residuals, ``parts`` codebooks of 256 entries each. Every vector is
 then indexed: assigned to its nearest centroid and coded. A query visits the ``probes`` lists whose
 centroids have the largest inner product with it; there an asymmetric distance table (query part x codebook entry,
 made once per query and task) estimates all inner products from the codes alone. The best ``rerank`` of
@@ -106,6 +106,7 @@ def probes_needed(sample: np.ndarray, coarse: np.ndarray, k: int, target: float,
 
 def train(sample: np.ndarray, lists: int, areas: int, parts: int, k: int, target: float, probes: int | None = None, seed: int = 5, rounds: int = 8, book_rows: int = 8192) -> Index:
     rng = np.random.default_rng(seed)
+    sample = rng.permutation(sample)
     coarse = kmeans(sample, lists, rounds, rng)
     area = nearest(coarse, kmeans(coarse, areas, rounds, rng))
     residual = sample - coarse[nearest(sample, coarse)]
@@ -131,7 +132,7 @@ def first_of(near: np.ndarray, n: int) -> np.ndarray:
     return got[np.isfinite(near[got])]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int | None = None, parts: int = 32, target: float = 0.96, probes: int | None = None,
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int | None = None, parts: int = 32, target: float = 0.98, probes: int | None = None,
            rerank: int = 64, train_rows: int = 20_000, block: int = 16_384, query_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of ``vectors`` (vec_id, embedding) nearest to each of ``queries`` (query_id,
     embedding) by inner product, a row with the query's own id excepted. Both should be tables."""
@@ -147,7 +148,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, lists: int | Non
     sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("embedding").toArrow().column(0).combine_chunks()
     # a list has some 200 vectors, and ten of the sample at least at scale
     lists = min(lists or min(2048, max(16, 2 ** math.ceil(math.log2(max(1, n / 200))))), n)
-    index = train(matrix(sample, dim), lists, max(1, min(lists, math.ceil(n / block))), parts, max(k, 1), target, probes)
+    index = train(np.unique(matrix(sample, dim), axis=0), lists, max(1, min(lists, math.ceil(n / block))), parts, max(k, 1), target, probes)
     rerank = max(rerank, 2 * k)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
