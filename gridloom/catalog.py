@@ -478,18 +478,25 @@ next
 """, region="r_regionkey")
 
 
-@query()
+def _rows_of(df: DataFrame, key: str, found: Column) -> DataFrame:
+    return tables.exploded(df, key, found).select(key, "table", "row", "is_header", F.concat_ws("|", "cells").alias("cells"))
+
+
+@query("""select page_id, 0 as "table", 0 as row, true as is_header, 'page|url' as cells from pages
+union all select page_id, 0, 1, false, page_id || '|' || coalesce(url, '') from pages""")
 def html_first_table(spark, sf_dir):
-    # pages are mostly prose: each gets a table of its own at its end, so that every page has one
-    own = F.concat(F.lit("<table><tr><th>page<th>url</tr><tr><td>"), F.col("page_id").cast("string"), F.lit("<td>"), F.coalesce("url", F.lit("")), F.lit("</table>"))
+    # pages are prose without tables: each gets one at its end
+    url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    own = F.concat(F.lit("<table><tr><th>page<th>url</tr><tr><td>"), F.col("page_id").cast("string"), F.lit("<td>"), url, F.lit("</table>"))
     pages = load(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), own).alias("html"))
-    return tables.exploded(pages, "page_id", tables.html_tables_of(F.col("html"))).where(F.col("table") == 0)
+    return _rows_of(pages, "page_id", tables.html_tables_of(F.col("html")))
 
 
-@query()
+@query("""select c_custkey, 0 as "table", 0 as row, true as is_header, 'key|name' as cells from customer
+union all select c_custkey, 0, 1, false, c_custkey || '|' || c_name from customer""")
 def markdown_tables(spark, sf_dir):
-    pages = load(spark, sf_dir, "region").select("r_regionkey", F.concat(F.lit("| key | name |\n|---|---|\n| "), F.col("r_regionkey").cast("string"), F.lit(" | "), F.col("r_name"), F.lit(" |\n")).alias("md"))
-    return tables.exploded(pages, "r_regionkey", tables.markdown_tables_of(F.col("md")))
+    made = F.concat(F.lit("| key | name |\n|---|---|\n| "), F.col("c_custkey").cast("string"), F.lit(" | "), F.col("c_name"), F.lit(" |\n"))
+    return _rows_of(load(spark, sf_dir, "customer").select("c_custkey", made.alias("md")), "c_custkey", tables.markdown_tables_of(F.col("md")))
 
 
 # windows and grouping sets
