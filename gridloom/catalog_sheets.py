@@ -412,3 +412,121 @@ def stream_days(spark, sf_dir):
     w = Window.partitionBy("window_start", "event_type").orderBy(F.desc("batch"))
     last = spark.read.parquet(out).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
     return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+# the SQL engine, charts, helpers
+
+
+@query("select o_custkey, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by o_custkey")
+def engine_registered_file(spark, sf_dir):
+    from .plans.engine import SqlEngine
+
+    path = fresh_path(spark, "engine") + ".csv"
+    sheet(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").write(path)
+    e = SqlEngine(spark)
+    name = e.register_csv(path, "orders_file")
+    return e.query(f"select o_custkey, count(*) as n, round(sum(o_totalprice), 2) as total from {name} group by o_custkey")
+
+
+@query("select n_name, r_name from nation join region on n_regionkey = r_regionkey where r_regionkey < 2")
+def sql_over_files(spark, sf_dir):
+    return run_script(spark, sf_dir, "nation region", """
+export nation to "FOLDER/n.jsonl"
+export region to "FOLDER/r.csv"
+dim out = query(select n_name, r_name from "FOLDER/n.jsonl" as n join "FOLDER/r.csv" as r on n_regionkey = r_regionkey where r_regionkey < 2)
+""")
+
+
+@query("select c_mktsegment as name, count(*) as value from customer group by 1")
+def chart_points(spark, sf_dir):
+    from . import charts
+
+    c = charts.spec(load(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), "bar", "c_mktsegment", "n")
+    return spark.createDataFrame(list(zip(c["x"]["values"], c["series"][0]["values"], strict=True)), "name string, value bigint")
+
+
+@query("select c_custkey, c_name as entered, case when c_custkey < 100 then c_mktsegment end as formatted from customer")
+def cell_data_fields(spark, sf_dir):
+    from .functions.celldata import field
+
+    c = load(spark, sf_dir, "customer")
+    cell = F.when(F.col("c_custkey") < 100, F.to_json(F.struct(F.col("c_name").alias("ue"), F.col("c_mktsegment").alias("formattedValue")))).otherwise(F.to_json(F.struct(F.col("c_name").alias("userEnteredValue"))))
+    return c.select("c_custkey", field(cell, "user_entered_value").alias("entered"), field(cell, "formatted_value").alias("formatted"))
+
+
+@query("select n_nationkey, chr(65 + n_nationkey) || (n_nationkey + 1) as a1, '$' || chr(65 + n_nationkey) || '$' || (n_nationkey + 1) as fixed, '=SUM(' || chr(66 + n_nationkey) || (n_nationkey + 3) || ', $A$1)' as moved from nation")
+def address_helpers(spark, sf_dir):
+    from .plans import formulas as P
+    from .plans.addresses import Cell, parse_cell
+
+    out = []
+    for k in load(spark, sf_dir, "nation").select("n_nationkey").toPandas().n_nationkey.tolist():
+        c = Cell(k, k)
+        tree = P.shifted(P.parse(f"=SUM({c.text()}, $A$1)"), 2, 1)
+        out.append((k, parse_cell(f"R{k + 1}C{k + 1}").text().replace("$", ""), Cell(k, k, True, True).text(), "=" + P.written(tree)))
+    return spark.createDataFrame(out, "n_nationkey int, a1 string, fixed string, moved string")
+
+
+@query("""select c_custkey, case when c_acctbal < 0 then '(' || format('{:,.2f}', -c_acctbal) || ')' when c_acctbal = 0 then 'none' else format('{:,.2f}', c_acctbal) end as shown,
+case when c_acctbal < 0 then 'Red' end as color from customer""")
+def ssf_sections(spark, sf_dir):
+    from .functions.numfmt import color, format_column
+
+    pattern = '#,##0.00;[Red](#,##0.00);"none"'
+    named = F.when(F.col("c_acctbal") < 0, F.lit(color(pattern, -1))).otherwise(F.lit(color(pattern, 1)))
+    return load(spark, sf_dir, "customer").select("c_custkey", format_column(pattern, F.col("c_acctbal")).alias("shown"), named.alias("color"))
+
+
+@query("select 1 as k, 'line 2: division by zero' as v union all select 2, '172800000' union all select 3, '9' union all select 4, '5' union all select 5, '6' union all select 6, '3'")
+def dsl_errors_and_assignment(spark, sf_dir):
+    from .errors import GridError
+    from .lang.interpreter import Interpreter
+
+    def value(text: str) -> str:
+        run = Interpreter(spark)
+        try:
+            run.run(text)
+        except GridError as e:
+            return str(e)
+        return str(run.get("r"))
+
+    texts = ["dim x = 1\ndim r = x / 0", "dim r = interval 2 days", "dim a = [1, 2]\na[1] = 9\ndim r = a[1]", "dim o = {a: {b: 1}}\no.a.b = 5\ndim r = o.a.b", "function f(byref a, paramarray c)\n a = a + length(c)\nend function\ndim r = 3\nf(r, 1, 2, 3)", "dim n = 2\ndim f = x => x + 1\ndim r = f(n)"]
+    return spark.createDataFrame([(k, value(t)) for k, t in enumerate(texts, 1)], "k int, v string")
+
+
+@query("select r_regionkey::bigint as r_regionkey, r_name from region")
+def sheet_conversions(spark, sf_dir):
+    """Through pandas, records and JSON text and back."""
+    import json
+
+    s = sheet(spark, sf_dir, "region", "r_regionkey").select("r_regionkey", "r_name")
+    back = Sheet.from_records(spark, json.loads(s.to_json()))
+    assert back.records() == s.records() == s.to_pandas().to_dict("records")
+    return Sheet.from_data(spark, back.cells(), headers=True).frame
+
+
+@query("select 'ann' as name, 31 as age union all select 'bo, jr', 4")
+def file_toon_text(spark, sf_dir):
+    from .sources import tables
+
+    name, names, cells = tables.toon_table(tables.toon_text("people", ["name", "age"], [["ann", 31], ["bo, jr", 4]]))
+    return files.from_rows(spark, [names, *cells], True, files.infer.TOON).select("name", F.col("age").cast("int").alias("age"))
+
+
+@query("select 'a' as k, '1' as v union all select 'b', '2'")
+def text_layout_tables(spark, sf_dir):
+    from .sources import tables
+
+    (found,) = tables.text_tables("Report\n\nk  v\n----\na  1\nb  2\n\nend")
+    return spark.createDataFrame(found[1:], ", ".join(f"{c} string" for c in found[0]))
+
+
+@query("select event_id // 1000 as number, count(*) as n from events group by 1")
+def stream_count_trigger(spark, sf_dir):
+    """Every 1000 events in the order they come, over several micro-batches."""
+    at = fresh_path(spark, "stream-in")
+    load(spark, sf_dir, "events").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").write.parquet(at)
+    got: list[tuple[int, int]] = []
+    stream = spark.readStream.schema(load(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(at)
+    windows.every(stream, 1000, lambda df, n: got.append((n, df.count()))).awaitTermination()
+    return spark.createDataFrame(got, "number bigint, n bigint")
