@@ -1,5 +1,6 @@
 """PII surrogates, importance resampling, stupid backoff, mixing, the pipeline."""
 
+import importlib
 import math
 import random
 import re
@@ -291,9 +292,52 @@ def test_budget_against_sorting(spark):
             assert got[g, k] == (total <= b) or n == 0
 
 
+def check_stage(name, was, is_, labelled, out):
+    """The rows (doc_id, text, source) of a stage's input and output against plain recomputations."""
+    if name == "quality":
+        assert not is_ - was
+        kept = {q: [r in is_ for r in was if labelled.get(r[0]) == q] for q in (0, 1)}
+        assert np.mean(kept[1]) >= 0.95 and np.mean(kept[0]) <= 0.3
+    elif name == "near_dups":
+        def shingles(t):
+            w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+            return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+        rows = sorted(was.elements(), key=lambda r: (r[0] is None, r[0] or 0))
+        sets, root = [shingles(r[1]) for r in rows], list(range(len(rows)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                    x, y = sorted((root[i], root[j]))
+                    root = [x if r == y else r for r in root]
+        assert is_ == Counter(r for i, r in enumerate(rows) if root[i] == i)
+    elif name == "pii":
+        assert Counter(r[0] for r in is_.elements()) == Counter(r[0] for r in was.elements())
+        assert Counter(r for r in was.elements() if not pii.mentions(r[1] or "")) <= is_
+        texts = {r[0]: r[1] for r in is_}
+        for d, t, _ in was:
+            secret = [(kind, t[b:e]) for b, e, kind, _ in pii.mentions(t or "") if d is not None]
+            assert not any(s in texts[d] for kind, s in secret if kind not in ("given", "family"))
+    elif name == "mixing":
+        assert not set(is_) - set(was) and all(n <= 2 * was[r] for r, n in is_.items())
+        words = lambda rows: Counter({s: sum(n * len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r, n in rows.items() if r[2] == s) for s in {r[2] for r in was}})
+        have = words(was)
+        order = sorted(have, key=lambda s: (s is None, s or ""))
+        target = water(have, {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(order)})
+        longest = max(len((r[1] or "").split()) for r in was)
+        assert all(abs(words(is_)[s] - target[s]) <= longest / 2 + 1 for s in have)
+    else:
+        tok = importlib.import_module("tokenizers").Tokenizer.from_file(importlib.import_module("gridloom.llm.queries").tokenizer("byte_bpe_50k.json"))
+        tok.encode_special_tokens = True
+        want = sum(n * (len(tok.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r, n in is_.items())
+        assert out.select(F.sum("length")).first()[0] == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
+    labelled = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(900001, None, None, None, None), (900002, "", "en", "s", 0), (None, "no id here", "en", "s", 10), (900003, "a b c d e f", "en", "s", 11), (900004, "A b c d e  f", "en", "s", 12)], docs.schema)
     (tmp_path / "sf").mkdir()
@@ -301,14 +345,13 @@ def test_pipeline(spark, tmp_path):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "sf/labels.parquet"))
     names = [n for n, _ in cp.STAGES]
     assert names == ["quality", "near_dups", "pii", "mixing", "packing"]
-    now = spark.read.parquet(str(tmp_path / "sf/documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "sf/documents.parquet")).withColumn("Kept", F.lit("own")).withColumn("_row", F.lit(7)).withColumn("replaced", F.lit(True))
     for name, stage in cp.STAGES:
-        out = cp.materialize(stage(spark, now, str(tmp_path / "sf")), f"test-{name}")
+        before, out = now, cp.materialize(stage(spark, now, str(tmp_path / "sf")), f"test-{name}")
         if name != "packing":
-            assert out.columns == docs.columns
-        if name == "near_dups":
-            ids = {r.doc_id for r in out.select("doc_id").collect()}
-            assert not {900003, 900004} <= ids
+            assert out.columns == before.columns and out.where("Kept <> 'own' or _row <> 7 or not replaced").count() == 0
+            was, is_ = (Counter(map(tuple, d.select("doc_id", "text", "source").collect())) for d in (before, out))
+        check_stage(name, was, is_, labelled, out)
         now = out
     assert now.count() > 100
     empty = docs.limit(0)
