@@ -68,7 +68,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dups", near_dups), ("pii", private_data), ("mixing", mixture), ("packing", sequences)]
 
-#: the stages train models and tokenize: SQL can't express them; tests compare the rows of near_dups only, on a small table
+#: the stages train models and tokenize: SQL can't express them; a test holds each against a plain recomputation on the smallest tables
 ORACLE_SQL = None
 
 
