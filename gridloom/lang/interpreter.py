@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -375,17 +376,12 @@ class Interpreter:
         def batch(*cols: pd.Series) -> pd.Series:
             return pd.Series([f(*v) for v in zip(*cols, strict=True)])
 
-        arity = f.__code__.co_argcount
-        if arity == 1:
-            def one(a: pd.Series) -> pd.Series:
-                return batch(a)
-            self.spark.udf.register(name, F.pandas_udf(one, result))
-        elif arity == 2:
-            def two(a: pd.Series, b: pd.Series) -> pd.Series:
-                return batch(a, b)
-            self.spark.udf.register(name, F.pandas_udf(two, result))
-        else:
-            self.spark.udf.register(name, f, result)
+        # Spark can't batch a function without arguments
+        self.spark.udf.register(name, F.pandas_udf(batch, result) if f.__code__.co_argcount else self.row_function(f, result))
+
+    @staticmethod
+    def row_function(f: Callable, result: str):
+        return F.udf(f, result)
 
     # rows by lambdas
 

@@ -91,6 +91,12 @@ def test_python_and_books(it, spark):
     assert it.get("names") == ["x", "y"] and it.get("c").row_count() == 6
 
 
+def test_python_functions_of_any_arity(it, spark):
+    it.run('register_python("zero", "lambda: 5", "bigint")\nregister_python("three", "lambda a, b, c: a + b * c", "bigint")')
+    it.set("s", spark.range(3).toDF("n"))
+    assert [tuple(r) for r in it.run("query(select zero() as z, three(n, n, 2) as t from s)").rows()] == [(5, 0), (5, 3), (5, 6)]
+
+
 def test_null_order():
     assert ordered("select a from t order by a, b desc limit 3") == "select a from t order by a nulls last, b desc nulls first limit 3"
     assert ordered("select a from t order by a nulls first") == "select a from t order by a nulls first "
