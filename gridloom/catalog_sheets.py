@@ -530,3 +530,33 @@ def stream_count_trigger(spark, sf_dir):
     stream = spark.readStream.schema(load(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(at)
     windows.every(stream, 1000, lambda df, n: got.append((n, df.count()))).awaitTermination()
     return spark.createDataFrame(got, "number bigint, n bigint")
+
+
+def _engine(spark, sf_dir, *names: str):
+    from .plans.engine import SqlEngine
+
+    e = SqlEngine(spark)
+    for n in names:
+        e.register_table(n, load(spark, sf_dir, n))
+    return e
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as net from lineitem")
+def engine_sql_function(spark, sf_dir):
+    e = _engine(spark, sf_dir, "lineitem")
+    e.create_function("net_price", "price double, discount double", "double", "price * (1 - discount)")
+    return e.query("select l_orderkey, l_linenumber, net_price(l_extendedprice, l_discount) as net from lineitem")
+
+
+@query("select c_nationkey, max(c_acctbal) - min(c_acctbal) as spread from customer group by 1")
+def engine_aggregate_function(spark, sf_dir):
+    e = _engine(spark, sf_dir, "customer")
+    e.register_aggregate("spread", lambda x: float(x.max() - x.min()), "double")
+    return e.query("select c_nationkey, spread(c_acctbal) as spread from customer group by c_nationkey")
+
+
+@query("select n_nationkey, unnest(range(0, n_regionkey + 1))::int as k from nation")
+def engine_table_function(spark, sf_dir):
+    e = _engine(spark, sf_dir, "nation")
+    e.register_table_function("upto", lambda n: ((k,) for k in range(n + 1)), "k int")
+    return e.query("select n_nationkey, k from nation, lateral upto(n_regionkey)")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import GridError
 from ..lang.interpreter import ordered
@@ -38,5 +41,26 @@ class SqlEngine:
         self.spark.catalog.dropTempView(name)
         self.names.discard(name)
 
+    def create_function(self, name: str, params: str, returns: str, body: str) -> None:
+        """A function written in SQL (``params``: "x double, y double"); Spark inlines its body into the plan."""
+        self.spark.sql(f"create or replace temporary function {name}({params}) returns {returns} return {body}")
+
+    def register_aggregate(self, name: str, f: Callable[..., object], returns: str) -> None:
+        """An aggregate of Python: ``f`` gets the column's values of a group as a pandas series (a group must fit in a task)."""
+
+        def one(*cols: pd.Series) -> float:
+            return f(*cols)
+
+        self.spark.udf.register(name, F.pandas_udf(one, returns))
+
+    def register_table_function(self, name: str, rows: Callable[..., Iterator[tuple]], returns: str) -> None:
+        """A function to be used in FROM or LATERAL: ``rows`` gives the rows for its arguments; ``returns``: "k int, v string"."""
+
+        class Rows:
+            def eval(self, *args):
+                yield from rows(*args)
+
+        self.spark.udtf.register(name, F.udtf(Rows, returnType=returns))
+
     def query(self, sql: str) -> DataFrame:
         return self.spark.sql(ordered(sql))
