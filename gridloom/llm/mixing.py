@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .select import take_budget
+from .select import BROADCAST_GROUPS, take_budget
 from .storage import free, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -66,7 +66,9 @@ def draw(sized: DataFrame, seed: str = "mix", quality: Column | None = None, wei
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     targets = targets.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("budget", F.col("target") - F.col("_whole") * F.col("source_size"))
+    targets = materialize(targets, "mix-targets")  # a row per source
     t = targets.select(F.col("source").alias("_s"), "source_size", "target", "_whole")
+    t = F.broadcast(t) if targets.count() <= BROADCAST_GROUPS else t
     bin_ = F.least(F.floor(F.lit(float(BINS)) * (1 - F.exp(-F.col("_key")))), F.lit(BINS - 1)).cast("int")
     picked = take_budget(keyed, targets, "source", bin_, [F.col("_key"), F.col("doc_id"), F.col("size")], F.col("size"), nearest=True)
     out = picked.join(t, picked["source"].eqNullSafe(t["_s"]), "left")

@@ -14,11 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: groups of which a row each is broadcast (some 10 MB); beyond, joins shuffle
+BROADCAST_GROUPS = 100_000
+
+
 def take_budget(rows: DataFrame, budgets: DataFrame, group: str, bin_: Column, order: list[Column], size: Column, nearest: bool) -> DataFrame:
     """``rows`` with ``_taken`` (boolean): in each group the first rows by (``bin_``, ``order``) whose sizes sum to the budget.
 
-    budgets: one row per group, columns ``group`` and ``budget``; groups are matched null-safely. ``rows`` is read more than
-    once, so it should be a table.
+    budgets: one row per group, columns ``group`` and ``budget``; groups are matched null-safely. Both are read more than
+    once, so they should be tables. Up to ``BROADCAST_GROUPS`` groups, which are counted, rows don't move to meet their group.
     ``nearest``: the row across the budget's end is taken if that comes nearer to the budget, else never.
     """
     rows = rows.withColumn("_bin", bin_).withColumn("_size", size)
@@ -32,6 +36,7 @@ def take_budget(rows: DataFrame, budgets: DataFrame, group: str, bin_: Column, o
         .groupBy(F.col(group).alias("_g")).agg(F.min(F.struct(F.col("_bin").alias("_edge"), (F.col("_upto") - F.col("_sum")).alias("_before"), F.col("budget").alias("_budget"))).alias("_e"))
         .select("_g", "_e.*")
     )
+    edge = F.broadcast(edge) if budgets.count() <= BROADCAST_GROUPS else edge
     placed = rows.join(edge, rows[group].eqNullSafe(edge["_g"]), "left")
     whole = placed.where(F.col("_edge").isNull() | (F.col("_bin") != F.col("_edge"))).withColumn("_taken", F.coalesce(F.col("_bin") < F.col("_edge"), F.lit(True)))
     run = F.col("_before") + F.sum("_size").over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
