@@ -123,3 +123,46 @@ def test_patterns(spark, pattern, value, shown):
 
         assert spark.range(1).select(format_column(pattern, F.lit(float(value))).alias("s")).first().s == shown
     assert color("[Red]0", 1) == "Red"
+
+
+def test_compiled_lookups_agree_with_values(spark):
+    """Over fixed ranges in any order, with repeats and blanks, a filled-down lookup gives what the function over values gives."""
+    import random
+
+    from gridloom.functions import scalar as S
+    from gridloom.sheet import Sheet
+
+    rng = random.Random(5)
+    xs = [float(v) for v in range(-1, 12)]
+    s = Sheet.of(spark.createDataFrame([(x,) for x in xs], "x double"))
+    for _ in range(2):
+        keys = [float(rng.randrange(0, 10)) for _ in range(7)]
+        vals = [f"v{i}" for i in range(7)]
+        t = Sheet.from_data(spark, [["k", "v"], *map(list, zip(keys, vals, strict=True))], headers=True)
+        wide = Sheet.from_data(spark, [[f"c{i}" for i in range(7)], keys, [float(i) for i in range(7)]], headers=True)
+        grid, line = [[k, v] for k, v in zip(keys, vals, strict=True)], [keys, [float(i) for i in range(7)]]
+        cases = {
+            "=VLOOKUP(A2, t!$A$2:$B$8, 2, FALSE)": ("VLOOKUP", lambda x, g=grid: [x, g, 2, False]), "=VLOOKUP(A2, t!$A$2:$B$8, 2)": ("VLOOKUP", lambda x, g=grid: [x, g, 2]),
+            "=HLOOKUP(A2, w!$A$2:$G$3, 2, FALSE)": ("HLOOKUP", lambda x, g=line: [x, g, 2, False]),
+            "=MATCH(A2, t!$A$2:$A$8, 0)": ("MATCH", lambda x, k=keys: [x, k, 0]), "=MATCH(A2, t!$A$2:$A$8, 1)": ("MATCH", lambda x, k=keys: [x, k, 1]), "=MATCH(A2, t!$A$2:$A$8, -1)": ("MATCH", lambda x, k=keys: [x, k, -1]),
+            **{f'=XLOOKUP(A2, t!$A$2:$A$8, t!$B$2:$B$8, "none", {m}, {d})': ("XLOOKUP", lambda x, k=keys, v=vals, m=m, d=d: [x, k, v, "none", m, d]) for m in (-1, 0, 1) for d in (1, -1)},
+            "=INDEX(t!$A$2:$B$8, A2, 2)": ("INDEX", lambda x, g=grid: [g, x, 2]),
+        }
+        out = s
+        for n, text in enumerate(cases):
+            out = out.fill_down(f"f{n}", text, others={"t": t, "w": wide})
+        rows = out.records()
+
+        def want(fn, args):
+            try:
+                v = S.call(fn, args)
+            except S.Stop as stop:
+                return str(stop.err)
+            return str(v) if isinstance(v, S.Err) else v
+
+        for r in rows:
+            for n, (text, (fn, args)) in enumerate(cases.items()):
+                w = want(fn, args(r["x"]))
+                got = r[f"f{n}"]
+                same = str(got) == str(w) or not isinstance(w, str) and got is not None and not str(got).startswith("#") and float(got) == float(w)
+                assert same, (text, keys, r["x"], got, w)
