@@ -49,7 +49,7 @@ class Sheet:
     def read(cls, spark: SparkSession, path: str, sheet: str | None = None, **options) -> Sheet:
         got = files.read(spark, path, sheet, **options)
         df = next(iter(got.values())) if isinstance(got, dict) else got
-        return cls.of(files.in_file_order(df) if files.extension(path) in ("csv", "tsv", "txt", "jsonl", "ndjson", "parquet") else df, sheet or files.stem(path))
+        return cls.of(files.in_file_order(df) if files.extension(path) in ("csv", "tsv", "txt", "json", "jsonl", "ndjson", "parquet") else df, sheet or files.stem(path))
 
     def _with(self, df: DataFrame) -> Sheet:
         return replace(self, body=df)

@@ -1,15 +1,13 @@
 """Readers and writers of whole files, by extension.
 
-Large formats (CSV, JSON lines, Parquet) are read and written by Spark in place; a workbook, an HTML or a Markdown file is one
+Large formats (CSV, JSON, JSON lines, Parquet) are read and written by Spark in place; a workbook, an HTML or a Markdown file is one
 document and is parsed on the driver from bytes that Spark fetches, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import urllib.request
-from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..errors import GridError, Unsupported
 from ..operators.keys import unique
-from . import infer, tables, xlsx
+from . import infer, jsonarray, tables, xlsx
 
 OPTIONS = {"headers", "has_headers", "detect_headers", "page_range", "min_table_rows", "min_table_cols", "min_table_size", "extract_structure", "structure"}
 
@@ -53,36 +51,16 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs.rename(own, where)
 
 
-def put_texts(spark: SparkSession, path: str, texts: Iterator[str], held: int = 1_000_000) -> None:
-    """One file written as its texts come, about ``held`` characters at a time."""
-    jvm = spark._jvm
-    where, own = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".writing")
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(own, True)
-    try:
-        waiting, n = [], 0
-        for t in texts:
-            waiting.append(t)
-            n += len(t)
-            if n >= held:
-                out.write(bytearray("".join(waiting).encode()))
-                waiting, n = [], 0
-        out.write(bytearray("".join(waiting).encode()))
-    finally:
-        out.close()
-    if fs.exists(where):
-        fs.delete(where, True)
-    fs.rename(own, where)
-
-
 def in_file_order(df: DataFrame, most: int = 10_000) -> DataFrame:
     """``df``, read from files, with the order key of its rows: files by name, then place in the file.
 
     Spark deals out files by size, so its own order is that of one file only.
     """
-    from ..operators.ordering import KEY, number_rows
+    from ..operators.ordering import KEY, keyed, number_rows
 
     names = sorted(df.inputFiles())
+    if not names:
+        return keyed(df)
     at = [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
     if len(names) > most:
         return number_rows(df.withColumns({"__f": F.col("_metadata.file_path"), "__s": at[0], "__i": at[1]}).orderBy("__f", "__s", "__i").drop("__f", "__s", "__i"))
@@ -101,13 +79,8 @@ def from_rows(spark: SparkSession, rows: list[list[object]], headers: bool = Tru
     if words is not None:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         return infer.infer(spark.createDataFrame([[None if v is None else str(v) for v in r] for r in data], schema), words)
-    kinds = []
-    for j in range(width):
-        seen = {type(r[j]) for r in data if r[j] is not None}
-        kind = T.StringType() if str in seen or not seen or bool in seen and len(seen) > 1 else T.BooleanType() if bool in seen else T.DoubleType() if float in seen else T.LongType()
-        kinds.append(kind)
-    to = lambda v, k: None if v is None else str(v) if isinstance(k, T.StringType) and not isinstance(v, str) else float(v) if isinstance(k, T.DoubleType) else v
-    return spark.createDataFrame([[to(v, k) for v, k in zip(r, kinds, strict=True)] for r in data], T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+    kinds = [jsonarray.kind_of({type(r[j]) for r in data if r[j] is not None}) for j in range(width)]
+    return spark.createDataFrame([[jsonarray.cast(v, k) for v, k in zip(r, kinds, strict=True)] for r in data], T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
 def looks_like_header(first: list[str | None], second: list[str | None] | None) -> bool:
@@ -162,11 +135,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    text = read_bytes(spark, path).decode()
-    value = json.loads(text)
-    if not isinstance(value, list):
-        raise GridError("a JSON sheet is an array of objects")
-    return from_records(spark, value)
+    return jsonarray.read(spark, path)
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -177,8 +146,7 @@ def flat(df: DataFrame) -> DataFrame:
 def from_records(spark: SparkSession, records: list[dict], keys: list[str] | None = None) -> DataFrame:
     """Columns from the first record; other keys are dropped, missing ones null."""
     keys = keys or (list(records[0]) if records else [])
-    show = lambda v: json.dumps(v) if isinstance(v, (dict, list)) else v
-    return from_rows(spark, [list(keys), *[[show(r.get(k)) for k in keys] for r in records]])
+    return from_rows(spark, [list(keys), *[[jsonarray.shown(r.get(k)) for k in keys] for r in records]])
 
 
 def from_objects(spark: SparkSession, objects: list[dict]) -> DataFrame:
@@ -258,20 +226,8 @@ def fetch(url: str, timeout: float = 30.0) -> object:
         return json.loads(r.read())
 
 
-def clean_number(v: object) -> object:
-    return str(v) if isinstance(v, float) and not math.isfinite(v) else v
-
-
-def json_texts(df: DataFrame) -> Iterator[str]:
-    """The parts of a JSON array of rows; a partition of them at a time is on the driver."""
-    yield "["
-    for k, r in enumerate(df.toLocalIterator()):
-        yield (", " if k else "") + json.dumps({c: clean_number(v) for c, v in r.asDict(True).items()}, default=str, ensure_ascii=False)
-    yield "]"
-
-
 def json_text(df: DataFrame, pretty: bool = False) -> str:
-    rows = [{k: clean_number(v) for k, v in r.asDict(True).items()} for r in df.collect()]
+    rows = [{k: jsonarray.clean_number(v) for k, v in r.asDict(True).items()} for r in df.collect()]
     return json.dumps(rows, indent=2 if pretty else None, default=str, ensure_ascii=False)
 
 
@@ -293,6 +249,10 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", key: str | None = N
         return
     if mode != "overwrite":
         old = read(spark, path)
+        if kind == "json":
+            from ..operators.ordering import KEY
+
+            old = in_file_order(old).orderBy(KEY).drop(KEY)
         if mode == "append":
             if sorted(old.columns) != sorted(body.columns):
                 raise GridError(f"{path} has other columns: {', '.join(old.columns)}")
@@ -312,7 +272,7 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", key: str | None = N
         case "csv" | "tsv" | "jsonl" | "parquet":
             _write_spark(body, path, kind)
         case "json":
-            put_texts(spark, path, json_texts(body))
+            jsonarray.write(body, path)
         case "xlsx":
             put_bytes(spark, path, xlsx.write_book({stem(path): as_rows(body)}))
         case "toon":

@@ -106,3 +106,32 @@ def test_folders_keep_their_order(spark, tmp_path):
 def test_quotes_over_lines(spark, tmp_path):
     (tmp_path / "q.csv").write_text('a,b\n1,"x\ny"\n2,"say ""hi"""\n')
     assert Sheet.read(spark, str(tmp_path / "q.csv")).rows() == [[1, "x\ny"], [2, 'say "hi"']]
+
+
+def test_json_arrays_are_read_and_written_by_executors(spark, tmp_path, monkeypatch):
+    """Objects across splits, brackets and quotes in strings, any layout; nothing of the file passes the driver."""
+    monkeypatch.setattr(files, "read_bytes", None)
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", None)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = [{"a}": i, "t": ["}]", '"{', "\\", 'x\\"}, {', None, "\u00e9\n"][i % 6], "n": [1, 2.5][i % 2], "o": {"b": [{"c": i}, "]"]}, "m": [True, "yes", 3][i % 3]} for i in range(200)]
+        records[70]["t"] = "}" * 2000
+        for how in ({}, {"indent": 1}, {"ensure_ascii": False, "separators": (",", ":")}):
+            (tmp_path / "a.json").write_text(json.dumps(records, **how))
+            back = Sheet.read(spark, str(tmp_path / "a.json"))
+            assert back.frame.rdd.getNumPartitions() > 1
+            assert back.rows() == files.from_records(spark, records).toPandas().astype(object).where(lambda d: d.notna(), None).values.tolist()
+            assert dict(back.frame.dtypes) == {"a}": "bigint", "t": "string", "n": "double", "o": "string", "m": "string"}
+        back.write(str(tmp_path / "b.json"))
+        assert json.loads((tmp_path / "b.json").read_text()) == back.records() == Sheet.read(spark, str(tmp_path / "b.json")).records()
+        for text in ("[]", " [ ]\n"):
+            (tmp_path / "a.json").write_text(text)
+            assert Sheet.read(spark, str(tmp_path / "a.json")).rows() == []
+        for text in ('{"a": 1}', '[1, {"a": 1}]', '[{"a": 1}, 2]', '[{"a": 1}', '[{"a": 1} {"a": 2}]', '[{"a": 1}, {"a": 2}, {"a": x}]', '[{"a": 1]}', ""):
+            (tmp_path / "a.json").write_text(text)
+            with pytest.raises(GridError):
+                Sheet.read(spark, str(tmp_path / "a.json"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
