@@ -526,10 +526,12 @@ def stream_count_trigger(spark, sf_dir):
     """Every 1000 events in the order they come, over several micro-batches."""
     at = fresh_path(spark, "stream-in")
     load(spark, sf_dir, "events").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").write.parquet(at)
-    got: list[tuple[int, int]] = []
+    out = fresh_path(spark, "stream-out")
+    spark.createDataFrame([], "number bigint, n bigint").write.parquet(out)
+    give = lambda df, _: df.groupBy(F.col(windows.FIRING).alias("number")).agg(F.count(F.lit(1)).alias("n")).write.mode("append").parquet(out)
     stream = spark.readStream.schema(load(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(at)
-    windows.every(stream, 1000, lambda df, n: got.append((n, df.count()))).awaitTermination()
-    return spark.createDataFrame(got, "number bigint, n bigint")
+    windows.every(stream, 1000, give, together=True).awaitTermination()
+    return spark.read.schema("number bigint, n bigint").parquet(out)
 
 
 def _engine(spark, sf_dir, *names: str):

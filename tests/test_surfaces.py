@@ -75,6 +75,32 @@ def test_count_trigger_carries_over_batches(spark, tmp_path):
     assert sizes == [(0, 10), (1, 10), (2, 8)]
 
 
+def test_count_trigger_gives_firings_together(spark, tmp_path):
+    """One call and one job per micro-batch, rows in the order they came, as one firing after the other has them."""
+    from pyspark.sql import functions as F
+
+    from gridloom.streaming import windows
+
+    for k in range(3):
+        spark.range(k * 700, k * 700 + 700, 1, 5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got, calls = {}, []
+
+    def give(df, first):
+        calls.append(first)
+        for r in df.groupBy(windows.FIRING).agg(F.sort_array(F.collect_list("id")).alias("ids")).collect():
+            assert got.setdefault(r[0], r.ids) is r.ids
+
+    windows.every(stream, 10, give, together=True).awaitTermination()
+    assert got == {n: list(range(n * 10, n * 10 + 10)) for n in range(210)} and calls == [0, 70, 140]
+    got.clear(), calls.clear()
+    windows.every(stream, 400, give, together=True).awaitTermination()
+    assert [len(got[n]) for n in range(6)] == [400] * 5 + [100] and calls == [0, 1, 3, 5] and got[5] == list(range(2000, 2100))
+    singles = []
+    windows.every(stream, 400, lambda df, n: singles.append([r.id for r in df.collect()])).awaitTermination()
+    assert singles == [list(range(k * 400, min(2100, k * 400 + 400))) for k in range(6)]
+
+
 def test_late_rows_are_left_out(spark, tmp_path):
     from pyspark.sql import functions as F
 
