@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .mixing import uniform
 from .select import kth_smallest
 from .storage import free, materialize
-from .textops import as_strings, ngrams, slices, words
+from .textops import as_strings, lean, ngrams, slices, words
 
 BUCKETS, PARTS = 1 << 16, 32
 
@@ -60,6 +60,7 @@ def fit(docs: DataFrame, labelled: dict[int, int], orders: tuple[int, ...] = (1,
     good = np.array(sorted(d for d, q in labelled.items() if q == 1), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         bags = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             texts = as_strings(batch.column(1))
@@ -100,6 +101,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, orders: tuple[int, ...] = (1, 2),
     names = [*keep, free(list(keep), "log_weight"), free(list(keep), "n_grams")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             texts = as_strings(batch.column(at))
             for i, j in slices(texts):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .components import connected_components, local_roots
 from .prefixtree import PrefixTree, needed
 from .storage import discard, materialize, release
-from .textops import as_strings, mix, shingle_sets, slices
+from .textops import as_strings, lean, mix, shingle_sets, slices
 from .vectors import groups
 
 #: the sketch's size: one cell for so many characters of text, between 2**LEAST_BITS and 2**MOST_BITS cells, in parts of 2**PART_BITS
@@ -71,6 +71,7 @@ def measure(docs: DataFrame, size: int = 5, bits: int | None = None) -> tuple[Da
     bits = bits or sketch_bits(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         total, seen, held, n_held = np.zeros(1 << bits, np.uint32), set(), [], 0
         for batch in batches:
             texts = as_strings(batch.column(1))

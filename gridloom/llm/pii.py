@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .storage import free, materialize
 from .surrogates import Keyed, calling_code, luhn, refill, surrogate
-from .textops import slices
+from .textops import lean, slices
 
 BROADCAST_ROWS = 100_000
 #: titles and the gender they tell; "" where they tell none (then the given name's form decides nothing and m is taken)
@@ -167,6 +167,7 @@ def find_entities(docs: DataFrame, by_doc: bool = False) -> DataFrame:
     """kind, norm (distinct), or doc_id, kind, norm per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             texts = _strings(batch.column(1))
             look = np.flatnonzero(pc.match_substring_regex(texts.fill_null(""), _LOOK).to_numpy(zero_copy_only=False))
@@ -222,6 +223,7 @@ def pseudonymize(docs: DataFrame, key: bytes = b"gridloom") -> DataFrame:
     out = pa.list_(pa.struct([("kind", pa.string()), ("original", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         k = Keyed(key)
         for whole in batches:
             if not whole.num_rows:

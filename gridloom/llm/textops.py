@@ -7,6 +7,9 @@ that memory stays flat however long the texts are.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -278,3 +281,13 @@ def word_cache(path: str, spaced: bool, most: int) -> WordCache:
     if (path, spaced, most) not in _CACHES:
         _CACHES[path, spaced, most] = WordCache(path, spaced, most)
     return _CACHES[path, spaced, most]
+
+
+def lean() -> None:
+    """Called by tasks that don't tokenize: what earlier tasks left in this Python worker goes, word caches and the freed
+    memory that the allocators hold; an executor's room is for the stage that runs."""
+    _CACHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)

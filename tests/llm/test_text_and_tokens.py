@@ -243,3 +243,27 @@ def test_chat_attachments(spark):
     assert r.turns[0].text == "see <|image:0|> <|image:0|><|audio:1|>" and r.turns[1].text == "ok<|document:2|>!"
     assert [(a.number, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 2 * 144 + 1), (1, "audio", "b.wav", 50), (2, "document", "c.pdf", 1536)]
     assert r.formatted.count("<|image:0|>") == 1 and r.expanded_tokens == 289 + 50 + 1536
+
+
+def test_tasks_that_do_not_tokenize_drop_word_caches():
+    """What packing leaves in a Python worker isn't held while the next run's first stage works in it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.llm import importance, textops
+
+    class Docs:
+        """Gives the function of the tasks."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            return f
+
+    Docs.schema = [type("Field", (), {"name": "doc_id", "dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "bigint")})})]
+    textops._CACHES["left", True, 1] = None
+    task = importance.weigh(Docs(), np.zeros(importance.BUCKETS))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b"])], names=["doc_id", "text"])
+    assert [b.to_pylist() for b in task(iter([batch]))] == [[{"doc_id": 1, "log_weight": 0.0, "n_grams": 3}]]
+    assert not textops._CACHES
