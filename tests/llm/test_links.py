@@ -112,6 +112,23 @@ def test_clustered_neighbours_need_few_lists(spark):
     assert out[out.query_id == 40].sort_values("rank").vec_id.tolist() != [] and out.query_id.nunique() == 150
 
 
+@pytest.mark.parametrize("size", [1.0, 1e-25, 1e25])
+def test_neighbours_in_tight_groups(spark, size):
+    rng = np.random.default_rng(28)
+    x = rng.standard_normal((10, 64))[rng.integers(0, 10, 2000)] + rng.standard_normal((2000, 64)) * 0.01  # more in a group than are reranked
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * size).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = ivfpq.self_search(df, every=20, k=10).toPandas()
+    m, hit = x.astype(float), 0
+    assert len(out) == 1000
+    for q, g in out.groupby("query_id"):
+        s = (m * m[q]).sum(axis=1)
+        assert np.allclose(s[g.vec_id] / size**2, g.score / size**2, rtol=0, atol=1e-9)
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s, kind="stable")[:10].tolist()) & set(g.vec_id))
+    assert hit / len(out) >= 0.9
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=25), min_size=1, max_size=12), st.sets(st.integers(0, 45), min_size=1, max_size=25))
 def test_prefix_tree(sets, probe):
