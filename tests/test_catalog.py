@@ -60,6 +60,15 @@ def test_whole_tables(spark):
     assert sorted(map(tuple, rows["join_theta"])) == sorted((a, b) for a, s, x in parts for b, t, y in parts if s == t and x < y)
 
 
+def test_theta_join_is_dealt_to_many_tasks(spark, tmp_path):
+    parts = [(i, 7, float(i % 50)) for i in range(600)] + [(9000, None, 1.0), (9001, 7, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = catalog.QUERIES["join_theta"](spark, str(tmp_path)).selectExpr("p_partkey", "other", "spark_partition_id() as task").collect()
+    assert sorted((r.p_partkey, r.other) for r in rows) == sorted((a, b) for a, s, x in parts[:600] for b, t, y in parts[:600] if x < y)
+    tasks = [r.task for r in rows]
+    assert max(map(tasks.count, set(tasks))) < 0.8 * len(rows)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
